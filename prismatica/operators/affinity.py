@@ -64,47 +64,45 @@ def _m(x: str, y: str) -> Column:
     return F.col(_moment(x, y))
 
 
-def relative(shap: ShapFrame, metric: str) -> dict[tuple[int, int], Column]:
-    """The relative affinity of each ordered pair of features as a Column over ``moments``."""
-    m = len(shap.feature_names)
+def relative(shap: ShapFrame, metric: str) -> tuple[DataFrame, dict[tuple[int, int], Column]]:
+    """One row per output, and over it the relative affinity of each ordered pair of features.
+
+    Slopes, residual moments and metrics are named columns of steps of their
+    own, so that no expression is repeated inside another.
+    """
+    m, one = len(shap.feature_names), moments(shap)
     inter = lambda i, j: f"int_{min(i, j)}_{max(i, j)}"
     p = lambda i: f"phi_{i}"
+    pairs = [(i, j) for i in range(m) for j in range(m) if i != j]
+    if metric == "association":
+        return one, {(i, j): guarded(_m(p(i), p(j)) * _m(p(i), p(j)), _m(p(i), p(i)) * _m(p(j), p(j))) for i, j in pairs}
+    if metric not in ("synergy", "redundancy"):
+        raise ValueError(f"unknown metric: {metric}")
 
     def slope(i: int, j: int) -> Column:
-        """a_ij: the part of the interaction that follows main effect i."""
+        """The part of the interaction that follows main effect i."""
         ii, jj, ij = inter(i, i), inter(j, j), inter(i, j)
         den = _m(ii, jj) * _m(ii, jj) - _m(ii, ii) * _m(jj, jj)
         num = _m(ii, jj) * _m(jj, ij) - _m(ii, ij) * _m(jj, jj)
         return F.when(den < -TINY * _m(ii, ii) * _m(jj, jj), num / den).otherwise(F.lit(0.0))
 
-    def residual_square(i: int, j: int) -> Column:
+    def square(i: int, j: int) -> Column:
+        """Moment of the orthogonalised interaction with itself."""
         ii, jj, ij = inter(i, i), inter(j, j), inter(i, j)
-        a, b = slope(i, j), slope(j, i)
+        a, b = F.col(f"a_{i}_{j}"), F.col(f"a_{j}_{i}")
         return F.greatest(_m(ij, ij) + a * a * _m(ii, ii) + b * b * _m(jj, jj) - 2 * a * _m(ii, ij) - 2 * b * _m(jj, ij) + 2 * a * b * _m(ii, jj), F.lit(0.0))
 
-    def residual_with(i: int, j: int) -> Column:
+    def with_main(i: int, j: int) -> Column:
         """Moment of p_i with the orthogonalised interaction of i and j."""
-        return _m(p(i), inter(i, j)) - slope(i, j) * _m(p(i), inter(i, i)) - slope(j, i) * _m(p(i), inter(j, j))
+        return _m(p(i), inter(i, j)) - F.col(f"a_{i}_{j}") * _m(p(i), inter(i, i)) - F.col(f"a_{j}_{i}") * _m(p(i), inter(j, j))
 
-    out = {}
-    for i in range(m):
-        for j in range(m):
-            if i == j:
-                continue
-            if metric == "association":
-                out[i, j] = guarded(_m(p(i), p(j)) * _m(p(i), p(j)), _m(p(i), p(i)) * _m(p(j), p(j)))
-                continue
-            synergy = guarded(residual_with(i, j) * residual_with(i, j), _m(p(i), p(i)) * residual_square(i, j))
-            if metric == "synergy":
-                out[i, j] = synergy
-                continue
-            if metric != "redundancy":
-                raise ValueError(f"unknown metric: {metric}")
-            c = lambda i, j: guarded(residual_with(i, j), residual_square(i, j))
-            d = lambda i, j: _m(p(i), p(i)) - c(i, j) * residual_with(i, j)
-            common = _m(p(i), p(j)) - c(i, j) * residual_with(j, i)
-            out[i, j] = guarded(common * common, d(i, j) * d(j, i)) * (1 - synergy)
-    return out
+    one = one.select("*", *[slope(i, j).alias(f"a_{i}_{j}") for i, j in pairs])
+    one = one.select("*", *[square(i, j).alias(f"q_{i}_{j}") for i, j in pairs], *[with_main(i, j).alias(f"u_{i}_{j}") for i, j in pairs])
+    one = one.select("*", *[guarded(F.col(f"u_{i}_{j}"), F.col(f"q_{i}_{j}")).alias(f"c_{i}_{j}") for i, j in pairs], *[guarded(F.col(f"u_{i}_{j}") * F.col(f"u_{i}_{j}"), _m(p(i), p(i)) * F.col(f"q_{i}_{j}")).alias(f"y_{i}_{j}") for i, j in pairs])
+    if metric == "synergy":
+        return one, {(i, j): F.col(f"y_{i}_{j}") for i, j in pairs}
+    one = one.select("*", *[(_m(p(i), p(i)) - F.col(f"c_{i}_{j}") * F.col(f"u_{i}_{j}")).alias(f"d_{i}_{j}") for i, j in pairs], *[(_m(p(i), p(j)) - F.col(f"c_{i}_{j}") * F.col(f"u_{j}_{i}")).alias(f"e_{i}_{j}") for i, j in pairs])
+    return one, {(i, j): guarded(F.col(f"e_{i}_{j}") * F.col(f"e_{i}_{j}"), F.col(f"d_{i}_{j}") * F.col(f"d_{j}_{i}")) * (1 - F.col(f"y_{i}_{j}")) for i, j in pairs}
 
 
 def affinity(shap: ShapFrame, metric: str) -> DataFrame:
@@ -112,11 +110,11 @@ def affinity(shap: ShapFrame, metric: str) -> DataFrame:
     if metric != "association":
         shap._need()
     m, names = len(shap.feature_names), shap.feature_names
-    one = moments(shap)
-    cells = relative(shap, metric)
+    one, cells = relative(shap, metric)
     rel = one.select("output", *[clipped_sqrt(_m(f"phi_{i}", f"phi_{i}")).alias(f"s_{i}") for i in range(m)], *[c.alias(f"r_{i}_{j}") for (i, j), c in cells.items()])
     total = sum((F.col(f"s_{k}") for k in range(1, m)), F.col("s_0"))
-    share = lambda i: guarded(F.col(f"s_{i}"), total)
+    rel = rel.select("*", *[guarded(F.col(f"s_{i}"), total).alias(f"w_{i}") for i in range(m)])
+    share = lambda i: F.col(f"w_{i}")
     rows = []
     for i in range(m):
         for j in range(m):
