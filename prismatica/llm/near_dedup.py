@@ -12,25 +12,24 @@ can't matter.
 
 Texts that agree in a band of registers are candidates. Equal texts are joined
 first. In a band's group all texts are compared with the group's leader; those
-too far from it go on as a group of their own, until nothing is left. Pairs on
-different sides of such a split are compared too, unless a bound excludes them:
-1 - similarity is a metric, so their distances to the leader must differ by no
-more than the allowed distance, and pairs that are connected already need no
-link. So no link between candidates is lost, without pairing whole groups.
+too far from it go on as a group of their own, with several leaders at once,
+until a group is of one class or nothing is left. Pairs on different sides of
+such a split are compared too, unless a bound excludes them: 1 - similarity is a
+metric, so their distances to the leader must differ by no more than the allowed
+distance, and pairs that are connected already need no link. So no link between candidates is lost, without pairing whole groups.
 Classes are the connected components of the links.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keyed
+from .common import cut, keyed, shuffle_width
 from .textblocks import FAMILIES, U, Block, blocks, mix, windows
 
 WORDS = 5
@@ -40,6 +39,10 @@ REGISTERS = BANDS * ROWS
 #: Times are integers of this many parts, so that sums don't depend on their order.
 PARTS = 2.0**36
 MANY = 32
+#: Leaders that a split group is compared with in each further round.
+LEADERS = 8
+#: Rows of links, labels and the like up to which one partition is enough.
+SMALL = 300_000
 
 
 def elements(block: Block, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,33 +155,95 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``(a, b)`` with ``similarity``, from the whole texts of both."""
+    width = shuffle_width(texts.sparkSession)
     return (
-        pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        pairs.repartition(width, "b")
+        .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         .select("a", "b", "text_a", "text_b")
         .mapInArrow(_compare, "a long, b long, similarity double")
     )
 
 
+def fitted(df: DataFrame) -> DataFrame:
+    """Materialise; what turns out to have at most SMALL rows continues as one partition, without shuffles."""
+    df = cut(df)
+    return df.coalesce(1) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(node, class)``: the least node of each connected component, for nodes with a link.
 
     Each round takes the least class among neighbours, then the class of that
     class; labels live in the shared checkpoint folder, never on the driver.
     """
-    both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("class")))
+    both = fitted(links.select("a", "b").union(links.select("b", "a")).distinct())
+    labels = fitted(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("class")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("class").alias("near"))
         closer = labels.join(near, "node").select("node", F.col("class").alias("before"), F.least("class", "near").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("class").alias("jump"))
-        closer = cut(closer.join(jump, "next", "left").select("node", "before", F.least("next", "jump").alias("class")))
-        moved = closer.filter(F.col("before") != F.col("class")).limit(1).count()
+        closer = fitted(closer.join(jump, "next", "left").select("node", "before", F.least("next", "jump").alias("class")))
         labels = closer.select("node", "class")
-        if not moved:
+        if closer.filter(F.col("before") != F.col("class")).isEmpty():
             return labels
 
 
+def _linked(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame | None:
+    """``(node, class)`` of all nodes with a link, from the members ``(band, hash, node)`` of all groups."""
+    far, links, told, labels, leaders_of = 1 - similarity, None, None, None, 1
+    place = ["band", "hash"]
+    while True:
+        # one leader a group, later one of each of several kinds
+        kinds = F.pmod(F.xxhash64("node"), F.lit(leaders_of))
+        leaders = members.groupBy(*place, kinds.alias("kind")).agg(F.min("node").alias("leader"))
+        led = fitted(members.join(leaders, place).filter("node <> leader").select(*place, "leader", "node", F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")))
+        if led.isEmpty():
+            break
+        scored = fitted(compared(led.select("a", "b").distinct(), texts))
+        # written out each round: plans stay as small as in the first
+        rows = fitted(led.join(scored, ["a", "b"]).select(*place, "leader", "node", "similarity"))
+        told = rows if told is None else told.union(rows)
+        near = scored.filter(F.col("similarity") >= similarity).select("a", "b")
+        if links is None or not near.isEmpty():
+            links = fitted(near if links is None else links.union(near))
+            labels = components(links)
+        # go on with nodes that are far from all leaders, in groups that aren't of one class yet
+        rest = (
+            rows.groupBy(*place, "node")
+            .agg(F.max("similarity").alias("best"))
+            .filter(F.col("best") < similarity)
+            .join(rows.select(*place, F.col("leader").alias("node")).distinct(), [*place, "node"], "left_anti")
+            .join(labels, "node", "left")
+            .select(*place, "node", F.coalesce("class", "node").alias("class"))
+        )
+        rest = fitted(rest)
+        mixed = rest.groupBy(*place).agg((F.min("class") != F.max("class")).alias("mixed")).filter("mixed").drop("mixed")
+        members, leaders_of = rest.join(mixed, place).select(*place, "node"), LEADERS
+    if links is None:
+        return None
+    # across splits: apart so far, and not excluded by the distances to the leader
+    label = lambda name: labels.select(F.col("node").alias(name), F.col("class").alias(f"{name}_class"))
+    apart = (
+        told.filter((F.col("similarity") < similarity) & (F.col("similarity") >= 1 - 2 * far))
+        .join(label("node"), "node", "left")
+        .join(label("leader"), "leader")
+        .filter(~F.col("node_class").eqNullSafe(F.col("leader_class")))
+        .select(*place, "leader", F.col("node").alias("c"), F.col("similarity").alias("c_similarity"))
+    )
+    near = told.filter(F.col("similarity") >= similarity).select(*place, "leader", F.col("node").alias("d"), F.col("similarity").alias("d_similarity"))
+    across = fitted(
+        apart.join(near, [*place, "leader"])
+        .filter(F.col("d_similarity") - F.col("c_similarity") <= far)
+        .select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"))
+        .distinct()
+    )
+    if across.isEmpty():
+        return labels
+    found = fitted(compared(across, texts).filter(F.col("similarity") >= similarity).select("a", "b"))
+    return labels if found.isEmpty() else components(fitted(links.union(found)))
+
+
 def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: id, ``class_id`` (least id of its class), ``kept`` (it is that id).
 
@@ -193,51 +258,13 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     banded = distinct.select("node", F.posexplode("bands").alias("band", "hash"))
     shared = banded.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     members = cut(banded.join(shared, ["band", "hash"]))
-    involved = members.select("node").distinct()
-    texts = cut(rows.select(F.col("key").alias("node"), "text").join(involved, "node", "left_semi").dropDuplicates(["node"]))
-
-    known: list[DataFrame] = []
-    splits: list[DataFrame] = []
-    far = 1 - similarity
-    while True:
-        leaders = members.groupBy("band", "hash").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-        led = cut(members.join(leaders, ["band", "hash"]).filter("node <> leader"))
-        if led.isEmpty():
-            break
-        pairs = led.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-        scored = cut(compared(pairs, texts))
-        known.append(scored.filter(F.col("similarity") >= similarity).select("a", "b"))
-        told = led.join(scored.select(F.col("a").alias("leader"), F.col("b").alias("node"), "similarity"), ["leader", "node"])
-        splits.append(told)
-        members = cut(told.filter(F.col("similarity") < similarity).select("node", "band", "hash"))
-
-    if known:
-        links = reduce(DataFrame.union, known)
-        labels = components(links)
-        # across splits: apart so far, and not excluded by the distances to the leader
-        told = reduce(DataFrame.union, splits)
-        label = lambda name: labels.select(F.col("node").alias(name), F.col("class").alias(f"{name}_class"))
-        apart = (
-            told.filter((F.col("similarity") < similarity) & (F.col("similarity") >= 1 - 2 * far))
-            .join(label("node"), "node", "left")
-            .join(label("leader"), "leader")
-            .filter(~F.col("node_class").eqNullSafe(F.col("leader_class")))
-            .select("band", "hash", "leader", F.col("node").alias("c"), F.col("similarity").alias("c_similarity"))
-        )
-        near = told.filter(F.col("similarity") >= similarity).select("band", "hash", "leader", F.col("node").alias("d"), F.col("similarity").alias("d_similarity"))
-        across = cut(
-            apart.join(near, ["band", "hash", "leader"])
-            .filter(F.col("d_similarity") - F.col("c_similarity") <= far)
-            .select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"))
-            .distinct()
-        )
-        if not across.isEmpty():
-            found = cut(compared(across, texts).filter(F.col("similarity") >= similarity).select("a", "b"))
-            if not found.isEmpty():
-                labels = components(links.union(found))
-        nodes = distinct.select("digest1", "digest2", "node").join(labels, "node", "left").select("digest1", "digest2", F.coalesce("class", "node").alias("class"))
+    texts = cut(rows.select(F.col("key").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    labels = _linked(members, texts, similarity)
+    nodes = distinct.select("digest1", "digest2", "node")
+    if labels is not None:
+        nodes = nodes.join(labels, "node", "left").select("digest1", "digest2", F.coalesce("class", "node").alias("class"))
     else:
-        nodes = distinct.select("digest1", "digest2", F.col("node").alias("class"))
+        nodes = nodes.withColumnRenamed("node", "class")
     placed = cut(signed.select("id", "digest1", "digest2").join(nodes, ["digest1", "digest2"]).select("id", "class"))
     least = placed.groupBy("class").agg(F.min("id").alias("class_id"))
     return placed.join(least, "class").select(F.col("id").alias(id_column), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
