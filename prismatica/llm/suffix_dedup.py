@@ -30,8 +30,8 @@ WINDOW = 200
 ANCHOR = 100
 #: Different segments of an anchor that one bucket reports, and that one collection takes.
 BUCKET_SEGMENTS = 16
-COLLECTION_SEGMENTS = 4096
-COLLECTION_BYTES = 1 << 20
+COLLECTION_SEGMENTS = 1024
+COLLECTION_BYTES = 1 << 17
 
 WHOLE, OWN, REFERENCE, HOT = 1, 2, 3, 4
 SPANS, PENDING, CONTENT, COUNTED = 0, 1, 2, 3
