@@ -18,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keyed, shuffle_width
+from .common import keyed, shuffle_width
 from .textblocks import U, mix
 
 MIN_CHARS = 40
 MIN_DOCS = 5
 BITS_PER_HASH = 16
 PROBES = 4
+SALTS = 16
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -97,15 +98,16 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     width = shuffle_width(docs.sparkSession)
     rows = keyed(docs, id_column, text_column)
     keys = F.array_distinct(_long(F.transform(_lines(F.col("text")), line_key), min_chars))
-    hashes = rows.select("key", F.explode(F.transform(keys, lambda k: F.xxhash64(k))).alias("hash")).distinct()
+    hashes = rows.select("key", F.explode(F.transform(keys, lambda k: F.xxhash64(k))).alias("hash"))
     suspects = hashes.repartition(width, "hash").mapInArrow(_suspects, "key long, hash long")
     per_row = suspects.groupBy("key").agg(F.collect_set("hash").alias("hashes"))
 
     # suspect lines with their full key
-    held = cut(
-        rows.dropDuplicates(["key"])
-        .join(per_row, "key")
+    # read twice below: recomputed from shuffles that Spark reuses, so that text is shuffled once
+    held = (
+        rows.join(per_row, "key")
         .select("id", "key", F.explode(F.filter(keys, lambda k: F.array_contains(F.col("hashes"), F.xxhash64(k)))).alias("line"))
+        .dropDuplicates(["key", "line"])
     )
     # "last" is the largest id; rows without an id come first, told apart by their key
     confirmed = (
@@ -114,7 +116,9 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         .filter(F.col("n") >= min_docs)
         .select("line", F.col("last.key").alias("last"))
     )
-    drops = held.join(confirmed, "line").filter(F.col("key") != F.col("last")).groupBy("key").agg(F.collect_list("line").alias("drop"))
+    # a line may stand in very many documents: its confirmation goes to SALTS places
+    salted = confirmed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    drops = held.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, ["line", "salt"]).filter(F.col("key") != F.col("last")).groupBy("key").agg(F.collect_list("line").alias("drop"))
 
     lines = _lines(F.col("text"))
     kept = F.filter(lines, lambda line: ~F.array_contains(F.col("drop"), line_key(line)))
