@@ -40,7 +40,7 @@ REGISTERS = BANDS * ROWS
 PARTS = 2.0**36
 MANY = 32
 #: Leaders that a split group is compared with in each further round.
-LEADERS = 8
+LEADERS = 4
 #: Rows of links, labels and the like up to which one partition is enough.
 SMALL = 300_000
 
@@ -165,10 +165,11 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
-def fitted(df: DataFrame) -> DataFrame:
-    """Materialise; what turns out to have at most SMALL rows continues as one partition, without shuffles."""
+def fitted(df: DataFrame) -> tuple[DataFrame, int]:
+    """Materialise and count; what has at most SMALL rows continues as one partition, without shuffles."""
     df = cut(df)
-    return df.coalesce(1) if df.limit(SMALL + 1).count() <= SMALL else df
+    rows = df.count()
+    return (df.coalesce(1) if rows <= SMALL else df), rows
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -177,13 +178,13 @@ def components(links: DataFrame) -> DataFrame:
     Each round takes the least class among neighbours, then the class of that
     class; labels live in the shared checkpoint folder, never on the driver.
     """
-    both = fitted(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = fitted(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("class")))
+    both, _ = fitted(links.select("a", "b").union(links.select("b", "a")).distinct())
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("class"))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("class").alias("near"))
         closer = labels.join(near, "node").select("node", F.col("class").alias("before"), F.least("class", "near").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("class").alias("jump"))
-        closer = fitted(closer.join(jump, "next", "left").select("node", "before", F.least("next", "jump").alias("class")))
+        closer, _ = fitted(closer.join(jump, "next", "left").select("node", "before", F.least("next", "jump").alias("class")))
         labels = closer.select("node", "class")
         if closer.filter(F.col("before") != F.col("class")).isEmpty():
             return labels
@@ -191,24 +192,23 @@ def components(links: DataFrame) -> DataFrame:
 
 def _linked(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame | None:
     """``(node, class)`` of all nodes with a link, from the members ``(band, hash, node)`` of all groups."""
-    far, links, told, labels, leaders_of = 1 - similarity, None, None, None, 1
+    far, told, labels, leaders_of, rounds = 1 - similarity, None, None, 1, 0
     place = ["band", "hash"]
+    near = lambda df: df.filter(F.col("similarity") >= similarity)
     while True:
         # one leader a group, later one of each of several kinds
         kinds = F.pmod(F.xxhash64("node"), F.lit(leaders_of))
         leaders = members.groupBy(*place, kinds.alias("kind")).agg(F.min("node").alias("leader"))
-        led = fitted(members.join(leaders, place).filter("node <> leader").select(*place, "leader", "node", F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")))
-        if led.isEmpty():
+        led, count = fitted(members.join(leaders, place).filter("node <> leader").select(*place, "leader", "node", F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")))
+        if not count:
             break
-        scored = fitted(compared(led.select("a", "b").distinct(), texts))
         # written out each round: plans stay as small as in the first
-        rows = fitted(led.join(scored, ["a", "b"]).select(*place, "leader", "node", "similarity"))
+        rows, _ = fitted(led.join(compared(led.select("a", "b").distinct(), texts), ["a", "b"]).select(*place, "leader", "node", "a", "b", "similarity"))
         told = rows if told is None else told.union(rows)
-        near = scored.filter(F.col("similarity") >= similarity).select("a", "b")
-        if links is None or not near.isEmpty():
-            links = fitted(near if links is None else links.union(near))
-            labels = components(links)
-        # go on with nodes that are far from all leaders, in groups that aren't of one class yet
+        rounds += 1
+        if rounds == 1:
+            labels = components(near(rows))
+        # go on with nodes that are far from all leaders, in groups that aren't known to be of one class
         rest = (
             rows.groupBy(*place, "node")
             .agg(F.max("similarity").alias("best"))
@@ -217,11 +217,12 @@ def _linked(members: DataFrame, texts: DataFrame, similarity: float) -> DataFram
             .join(labels, "node", "left")
             .select(*place, "node", F.coalesce("class", "node").alias("class"))
         )
-        rest = fitted(rest)
         mixed = rest.groupBy(*place).agg((F.min("class") != F.max("class")).alias("mixed")).filter("mixed").drop("mixed")
         members, leaders_of = rest.join(mixed, place).select(*place, "node"), LEADERS
-    if links is None:
+    if told is None:
         return None
+    if rounds > 1:
+        labels = components(near(told))
     # across splits: apart so far, and not excluded by the distances to the leader
     label = lambda name: labels.select(F.col("node").alias(name), F.col("class").alias(f"{name}_class"))
     apart = (
@@ -231,17 +232,17 @@ def _linked(members: DataFrame, texts: DataFrame, similarity: float) -> DataFram
         .filter(~F.col("node_class").eqNullSafe(F.col("leader_class")))
         .select(*place, "leader", F.col("node").alias("c"), F.col("similarity").alias("c_similarity"))
     )
-    near = told.filter(F.col("similarity") >= similarity).select(*place, "leader", F.col("node").alias("d"), F.col("similarity").alias("d_similarity"))
-    across = fitted(
-        apart.join(near, [*place, "leader"])
+    beside = near(told).select(*place, "leader", F.col("node").alias("d"), F.col("similarity").alias("d_similarity"))
+    across, count = fitted(
+        apart.join(beside, [*place, "leader"])
         .filter(F.col("d_similarity") - F.col("c_similarity") <= far)
         .select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"))
         .distinct()
     )
-    if across.isEmpty():
+    if not count:
         return labels
-    found = fitted(compared(across, texts).filter(F.col("similarity") >= similarity).select("a", "b"))
-    return labels if found.isEmpty() else components(fitted(links.union(found)))
+    found, count = fitted(near(compared(across, texts)).select("a", "b"))
+    return components(near(told).select("a", "b").union(found)) if count else labels
 
 
 def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -24,7 +24,7 @@ WORD_BITS = 17
 GRAM_BITS = 17
 GRAM = 4
 #: Labelled rows used at most: those whose hashed ids are least.
-SAMPLE = 3000
+SAMPLE = 2000
 #: Rejected below this calibrated probability of good quality.
 KEEP_AT = 0.5
 SCALE = 30.0
