@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 256
+FAN = 16
 
 
 def running_total(df: DataFrame, order: list[str], weight: Column | None = None, name: str = "before", buckets: int = BUCKETS) -> DataFrame:
@@ -22,12 +23,15 @@ def running_total(df: DataFrame, order: list[str], weight: Column | None = None,
     as_number = F.unix_micros(lead.cast("timestamp")) if dict(df.dtypes)[order[0]].startswith(("timestamp", "date")) else lead
     rows = df.withColumn("__lead", as_number).withColumn("__weight", weight if weight is not None else F.lit(1))
     cuts = rows.agg(F.percentile_approx("__lead", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("__cuts"))
-    rows = rows.join(F.broadcast(cuts)).withColumn("__bucket", F.size(F.filter(F.array_distinct(F.coalesce("__cuts", F.array())), lambda c: c < F.col("__lead"))))
+    # the number of cuts below a value, in two steps: every FAN-th cut, then those in between
+    cuts = cuts.withColumn("__coarse", F.filter("__cuts", lambda c, i: i % FAN == FAN - 1))
+    below = lambda cut: F.size(F.filter(cut, lambda c: c < F.col("__lead")))
+    rows = rows.join(F.broadcast(cuts)).withColumn("__block", below(F.col("__coarse")) * FAN).withColumn("__bucket", F.col("__block") + below(F.slice("__cuts", F.col("__block") + 1, F.lit(FAN))))
     ahead = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("__bucket").agg(F.sum("__weight").alias("__total")).select("__bucket", F.coalesce(F.sum("__total").over(ahead), F.lit(0)).alias("__ahead"))
     inside = Window.partitionBy("__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     # at most ``buckets`` rows of totals: always small enough to broadcast
-    return rows.join(F.broadcast(totals), "__bucket").withColumn(name, F.col("__ahead") + F.coalesce(F.sum("__weight").over(inside), F.lit(0))).drop("__bucket", "__lead", "__weight", "__cuts", "__ahead")
+    return rows.join(F.broadcast(totals), "__bucket").withColumn(name, F.col("__ahead") + F.coalesce(F.sum("__weight").over(inside), F.lit(0))).drop("__bucket", "__lead", "__weight", "__cuts", "__coarse", "__block", "__ahead")
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
