@@ -87,7 +87,9 @@ def scan(files: DataFrame, path_column: str = "path", text_column: str = "text",
     text, path = filled(text_column), F.col(path_column).cast("string")
     cues = leading(templates, threshold)
     lines = F.split(F.lower(text), "\n", -1)
-    some = F.filter(lines, lambda line: line.rlike(rf"(?<![a-z0-9])(?:{'|'.join(cues)})(?![a-z0-9])"))
+    cue = rf"(?<![a-z0-9])(?:{'|'.join(cues)})(?![a-z0-9])"
+    # a text has a leading term if and only if one of its lines has: most texts end at this test
+    some = F.filter(lines, lambda line: line.rlike(cue))
     tests = F.transform(some, lambda line: F.regexp_extract_all(line, F.lit(f"({TERM})"), F.lit(1)))
 
     names, unit = list(templates), vectors(templates)
@@ -116,7 +118,7 @@ def scan(files: DataFrame, path_column: str = "path", text_column: str = "text",
     is_file = F.col(license_file_column).cast("boolean") if license_file_column else F.regexp_extract(path, "([^/]*)$", 1).rlike("^(LICENSE|LICENCE|COPYING)(\\.|$)")
     directory = F.when(path.isNotNull(), F.regexp_replace(path, "/?[^/]*$", ""))
     noticed = files.select(
-        *[F.col(c) for c in kept], path.alias("__path"), directory.alias("__dir"), F.coalesce(is_file, F.lit(False)).alias("__file"), F.when(F.size(some) > 0, own).alias("__own")
+        *[F.col(c) for c in kept], path.alias("__path"), directory.alias("__dir"), F.coalesce(is_file, F.lit(False)).alias("__file"), F.when(F.lower(text).rlike(cue), own).alias("__own")
     ).withColumn("__own", F.when(-F.col("__own.minus") >= threshold, F.col("__own")))
 
     licences = (
