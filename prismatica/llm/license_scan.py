@@ -19,7 +19,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, filled
+from .common import SPACE, cut, filled
 
 # Short notices as published by the licences' stewards or in common use.
 TEMPLATES = {
@@ -34,6 +34,7 @@ THRESHOLD = 0.8
 TERM = "[a-z0-9]+"
 #: A file of no more words, with a notice, is its directory's licence file (in the registered query).
 LICENSE_FILE_WORDS = 60
+SALTS = 16
 
 
 def idf(templates: dict[str, str]) -> tuple[dict[str, float], float]:
@@ -71,7 +72,7 @@ def leading(templates: dict[str, str], threshold: float) -> list[str]:
     return sorted(chosen)
 
 
-def scan(files: DataFrame, path_column: str = "path", text_column: str = "text", license_file_column: str | None = None, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scan(files: DataFrame, path_column: str = "path", text_column: str = "text", license_file_column: str | None = None, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, keep_text: bool = True) -> DataFrame:
     """``files`` plus ``license, how`` (own, inherited, none), ``score`` and ``from_dir``.
 
     A file's own licence is the template with the best cosine over its lines, at
@@ -80,7 +81,9 @@ def scan(files: DataFrame, path_column: str = "path", text_column: str = "text",
     name LICENSE, LICENCE or COPYING), the best score first, then the first path.
     Null paths have no directory and inherit nothing; null and empty texts have
     no notice. Result columns replace columns of the same names; rows with
-    equal paths are treated alike, and repeated rows stay repeated.
+    equal paths are treated alike, and repeated rows stay repeated. Without
+    ``keep_text`` the text is left out, and notices are written to the shared
+    folder first, so that texts are read once.
     """
     templates = templates or TEMPLATES
     weights, outside = idf(templates)
@@ -92,34 +95,36 @@ def scan(files: DataFrame, path_column: str = "path", text_column: str = "text",
     some = F.filter(lines, lambda line: line.rlike(cue))
     tests = F.transform(some, lambda line: F.regexp_extract_all(line, F.lit(f"({TERM})"), F.lit(1)))
 
-    names, unit = list(templates), vectors(templates)
+    # each step has its own lambda, so that the expression grows with the number of steps only
+    numbers = lambda pairs: "map(" + ", ".join(f"'{k}', {v!r}D" for k, v in pairs.items()) + ")"
+    weight_of = F.expr(numbers(weights))
+    unit = F.expr("array(" + ", ".join(f"struct('{name}' AS license, {numbers(v)} AS shares)" for name, v in vectors(templates).items()) + ")")
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
-    def best(terms: Column) -> Column:
-        """The best (score, template) of a line."""
-        distinct = F.array_distinct(terms)
-        count = lambda t: F.size(F.filter(terms, lambda x: x == t)).cast("double")
-        weight_of = F.map_from_arrays(F.array(*[F.lit(t) for t in weights]), F.array(*[F.lit(w) for w in weights.values()]))
-        squares = F.transform(distinct, lambda t: F.pow(count(t) * F.coalesce(F.try_element_at(weight_of, t), F.lit(outside)), F.lit(2.0)))
-        norm = F.sqrt(F.aggregate(F.array_sort(squares), F.lit(0.0), lambda a, x: a + x))
+    def weighted(terms: Column) -> Column:
+        weight = lambda t: F.size(F.filter(terms, lambda x: x == t)) * F.coalesce(F.try_element_at(weight_of, t), F.lit(outside))
+        return F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("term"), weight(t).alias("weight")))
 
-        def score(name: str) -> Column:
-            vector = F.map_from_arrays(F.array(*[F.lit(t) for t in unit[name]]), F.array(*[F.lit(v) for v in unit[name].values()]))
-            products = F.transform(distinct, lambda t: count(t) * F.coalesce(F.try_element_at(weight_of, t), F.lit(outside)) * F.coalesce(F.try_element_at(vector, t), F.lit(0.0)))
-            dot = F.aggregate(F.array_sort(products), F.lit(0.0), lambda a, x: a + x)
-            return F.struct(F.when(norm > 0, F.round(dot / norm, 6)).otherwise(F.lit(0.0)).alias("score"), F.lit(name).alias("license"))
+    def products(line: Column) -> Column:
+        dot = lambda u: total(F.transform(line, lambda x: x["weight"] * F.coalesce(F.try_element_at(u["shares"], x["term"]), F.lit(0.0))))
+        norm = F.sqrt(total(F.transform(line, lambda x: x["weight"] * x["weight"])))
+        return F.struct(norm.alias("norm"), F.transform(unit, lambda u: F.struct(u["license"].alias("license"), dot(u).alias("dot"))).alias("dots"))
 
-        scores = [score(name) for name in names]
+    def best(found: Column) -> Column:
         # largest score, first name: smallest of (-score, name)
-        return F.array_min(F.transform(F.array(*scores), lambda s: F.struct((-s["score"]).alias("minus"), s["license"].alias("license"))))
+        minus = lambda d: -F.coalesce(F.round(F.try_divide(d["dot"], found["norm"]), 6), F.lit(0.0))
+        return F.array_min(F.transform(found["dots"], lambda d: F.struct(minus(d).alias("minus"), d["license"].alias("license"))))
 
-    own = F.array_min(F.transform(tests, best))
+    own = F.array_min(F.transform(F.transform(F.transform(tests, weighted), products), best))
     result = ("license", "how", "score", "from_dir")
-    kept = [c for c in files.columns if c not in result]
+    kept = [c for c in files.columns if c not in result and (keep_text or c != text_column)]
     is_file = F.col(license_file_column).cast("boolean") if license_file_column else F.regexp_extract(path, "([^/]*)$", 1).rlike("^(LICENSE|LICENCE|COPYING)(\\.|$)")
     directory = F.when(path.isNotNull(), F.regexp_replace(path, "/?[^/]*$", ""))
     noticed = files.select(
         *[F.col(c) for c in kept], path.alias("__path"), directory.alias("__dir"), F.coalesce(is_file, F.lit(False)).alias("__file"), F.when(F.lower(text).rlike(cue), own).alias("__own")
     ).withColumn("__own", F.when(-F.col("__own.minus") >= threshold, F.col("__own")))
+    if not keep_text:
+        noticed = cut(noticed)
 
     licences = (
         noticed.filter("__file AND __own IS NOT NULL AND __dir IS NOT NULL")
@@ -135,12 +140,16 @@ def scan(files: DataFrame, path_column: str = "path", text_column: str = "text",
         .withColumn("__depth", F.explode(F.sequence(F.lit(0), F.size(parts))))
         .withColumn("__from", F.array_join(F.slice(parts, F.lit(1), F.col("__depth")), "/"))
     )
+    # one ancestor may be that of most directories, and one directory may hold most files: both are salted
+    salted = lambda df: df.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = lambda *by: F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")
     inherited = (
-        ancestors.join(licences, "__from")
+        ancestors.withColumn("__salt", salt("__dir"))
+        .join(salted(licences), ["__from", "__salt"])
         .groupBy("__dir")
         .agg(F.max(F.struct("__depth", "__from", "__held")).alias("__near"))
     )
-    return noticed.join(inherited, "__dir", "left").select(
+    return noticed.withColumn("__salt", salt("__path")).join(salted(inherited), ["__dir", "__salt"], "left").select(
         *kept,
         F.coalesce("__own.license", "__near.__held.license").alias("license"),
         F.when(F.col("__own").isNotNull(), "own").when(F.col("__near").isNotNull(), "inherited").otherwise("none").alias("how"),
