@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,6 +93,7 @@ def scan(files: DataFrame, path_column: str = "path", text_column: str = "text",
     lines = F.split(F.lower(text), "\n", -1)
     cue = rf"(?<![a-z0-9])(?:{'|'.join(cues)})(?![a-z0-9])"
     # a text has a leading term if and only if one of its lines has: most texts end at this test
+    holds = reduce(lambda a, b: a | b, [F.lower(text).contains(c) for c in cues])
     some = F.filter(lines, lambda line: line.rlike(cue))
     tests = F.transform(some, lambda line: F.regexp_extract_all(line, F.lit(f"({TERM})"), F.lit(1)))
 
@@ -121,7 +123,7 @@ def scan(files: DataFrame, path_column: str = "path", text_column: str = "text",
     is_file = F.col(license_file_column).cast("boolean") if license_file_column else F.regexp_extract(path, "([^/]*)$", 1).rlike("^(LICENSE|LICENCE|COPYING)(\\.|$)")
     directory = F.when(path.isNotNull(), F.regexp_replace(path, "/?[^/]*$", ""))
     noticed = files.select(
-        *[F.col(c) for c in kept], path.alias("__path"), directory.alias("__dir"), F.coalesce(is_file, F.lit(False)).alias("__file"), F.when(F.lower(text).rlike(cue), own).alias("__own")
+        *[F.col(c) for c in kept], path.alias("__path"), directory.alias("__dir"), F.coalesce(is_file, F.lit(False)).alias("__file"), F.when(holds & F.lower(text).rlike(cue), own).alias("__own")
     ).withColumn("__own", F.when(-F.col("__own.minus") >= threshold, F.col("__own")))
     if not keep_text:
         noticed = cut(noticed)
