@@ -172,13 +172,37 @@ def fitted(df: DataFrame) -> tuple[DataFrame, int]:
     return (df.coalesce(1) if rows <= SMALL else df), rows
 
 
+def _least_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(batch.column("a").to_numpy(), batch.column("b").to_numpy()) for batch in batches]
+    if not parts:
+        return
+    a, b = (np.concatenate(side) for side in zip(*parts))
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    above = list(range(len(nodes)))
+
+    def top(i: int) -> int:
+        while above[i] != i:
+            above[i] = i = above[above[i]]
+        return i
+
+    for x, y in zip(place[: len(a)].tolist(), place[len(a) :].tolist()):
+        x, y = top(x), top(y)
+        above[max(x, y)] = min(x, y)
+    least = nodes[[top(i) for i in range(len(nodes))]] if len(nodes) else nodes
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(least, pa.int64())], names=["node", "class"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(node, class)``: the least node of each connected component, for nodes with a link.
 
-    Each round takes the least class among neighbours, then the class of that
-    class; labels live in the shared checkpoint folder, never on the driver.
+    At most SMALL links are joined up in one task. Beyond that each round takes
+    the least class among neighbours, then the class of that class; labels live
+    in the shared checkpoint folder, never on the driver.
     """
-    both, _ = fitted(links.select("a", "b").union(links.select("b", "a")).distinct())
+    pairs, count = fitted(links.select("a", "b").distinct())
+    if count <= SMALL:
+        return cut(pairs.mapInArrow(_least_nodes, "node long, class long"))
+    both = cut(pairs.union(pairs.select("b", "a")).distinct())
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("class"))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("class").alias("near"))
