@@ -61,8 +61,8 @@ def leading(templates: dict[str, str], threshold: float) -> list[str]:
     """Terms without which no line reaches the threshold: the rest of each template is too short."""
     chosen: set[str] = set()
     for vector in vectors(templates).values():
-        # longest terms first among equals: they are rarest in running text
-        order = sorted(vector, key=lambda t: (-round(vector[t], 9), -len(t), t))
+        # longest terms first: they are rarest in running text
+        order = sorted(vector, key=lambda t: (-len(t), t))
         rest = sum(v * v for t, v in vector.items() if t not in chosen)
         for term in order:
             if rest < threshold * threshold - 1e-9:
