@@ -77,3 +77,13 @@ def test_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert {r.doc_id: r.class_id for r in nd.near_classes(docs).collect()} == brute(rows)
+
+
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch):
+    links = spark.createDataFrame([(1, 2), (3, 4), (2, 3), (10, 9), (9, 8), (8, 7), (20, 30), (20, 30)], "a long, b long")
+    want = {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 8: 7, 9: 7, 10: 7, 20: 20, 30: 20}
+    assert dict(map(tuple, nd.components(links).collect())) == want
+    monkeypatch.setattr(nd, "SMALL", 1)
+    assert dict(map(tuple, nd.components(links).collect())) == want
+    monkeypatch.undo()
+    assert nd.components(links.limit(0)).count() == 0
