@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import posixpath
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables in the shared folder that last as long as one operator runs.
+
+    A checkpoint keeps the size estimated for its plan, and estimates multiply
+    at joins: in a loop of joins and checkpoints they grow to numbers of millions
+    of digits, which fill the driver. A table that is read again has its true size.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.tables = spark, 0
+        self.folder = posixpath.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Write the rows out and read them again."""
+        self.tables += 1
+        df.write.parquet(path := posixpath.join(self.folder, str(self.tables)))
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def filled(column: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

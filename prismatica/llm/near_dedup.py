@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keyed, shuffle_width
+from .common import Scratch, cut, keyed, shuffle_width
 from .textblocks import FAMILIES, U, Block, blocks, mix, windows
 
 WORDS = 5
@@ -165,9 +165,9 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
-def fitted(df: DataFrame) -> tuple[DataFrame, int]:
+def fitted(df: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     """Materialise and count; what has at most SMALL rows continues as one partition, without shuffles."""
-    df = cut(df)
+    df = scratch.keep(df)
     rows = df.count()
     return (df.coalesce(1) if rows <= SMALL else df), rows
 
@@ -192,29 +192,29 @@ def _least_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(least, pa.int64())], names=["node", "class"])
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """``(node, class)``: the least node of each connected component, for nodes with a link.
 
     At most SMALL links are joined up in one task. Beyond that each round takes
     the least class among neighbours, then the class of that class; labels live
-    in the shared checkpoint folder, never on the driver.
+    in the shared folder, never on the driver.
     """
-    pairs, count = fitted(links.select("a", "b").distinct())
+    pairs, count = fitted(links.select("a", "b").distinct(), scratch)
     if count <= SMALL:
-        return cut(pairs.mapInArrow(_least_nodes, "node long, class long"))
-    both = cut(pairs.union(pairs.select("b", "a")).distinct())
+        return scratch.keep(pairs.mapInArrow(_least_nodes, "node long, class long"))
+    both = scratch.keep(pairs.union(pairs.select("b", "a")).distinct())
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("class"))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("class").alias("near"))
         closer = labels.join(near, "node").select("node", F.col("class").alias("before"), F.least("class", "near").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("class").alias("jump"))
-        closer, _ = fitted(closer.join(jump, "next", "left").select("node", "before", F.least("next", "jump").alias("class")))
+        closer, _ = fitted(closer.join(jump, "next", "left").select("node", "before", F.least("next", "jump").alias("class")), scratch)
         labels = closer.select("node", "class")
         if closer.filter(F.col("before") != F.col("class")).isEmpty():
             return labels
 
 
-def _linked(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame | None:
+def _linked(members: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame | None:
     """``(node, class)`` of all nodes with a link, from the members ``(band, hash, node)`` of all groups."""
     far, told, labels, leaders_of, rounds = 1 - similarity, None, None, 1, 0
     place = ["band", "hash"]
@@ -223,15 +223,15 @@ def _linked(members: DataFrame, texts: DataFrame, similarity: float) -> DataFram
         # one leader a group, later one of each of several kinds
         kinds = F.pmod(F.xxhash64("node"), F.lit(leaders_of))
         leaders = members.groupBy(*place, kinds.alias("kind")).agg(F.min("node").alias("leader"))
-        led, count = fitted(members.join(leaders, place).filter("node <> leader").select(*place, "leader", "node", F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")))
+        led, count = fitted(members.join(leaders, place).filter("node <> leader").select(*place, "leader", "node", F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")), scratch)
         if not count:
             break
         # written out each round: plans stay as small as in the first
-        rows, _ = fitted(led.join(compared(led.select("a", "b").distinct(), texts), ["a", "b"]).select(*place, "leader", "node", "a", "b", "similarity"))
+        rows, _ = fitted(led.join(compared(led.select("a", "b").distinct(), texts), ["a", "b"]).select(*place, "leader", "node", "a", "b", "similarity"), scratch)
         told = rows if told is None else told.union(rows)
         rounds += 1
         if rounds == 1:
-            labels = components(near(rows))
+            labels = components(near(rows), scratch)
         # go on with nodes that are far from all leaders, in groups that aren't known to be of one class
         rest = (
             rows.groupBy(*place, "node")
@@ -246,7 +246,7 @@ def _linked(members: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     if told is None:
         return None
     if rounds > 1:
-        labels = components(near(told))
+        labels = components(near(told), scratch)
     # across splits: apart so far, and not excluded by the distances to the leader
     label = lambda name: labels.select(F.col("node").alias(name), F.col("class").alias(f"{name}_class"))
     apart = (
@@ -261,12 +261,13 @@ def _linked(members: DataFrame, texts: DataFrame, similarity: float) -> DataFram
         apart.join(beside, [*place, "leader"])
         .filter(F.col("d_similarity") - F.col("c_similarity") <= far)
         .select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"))
-        .distinct()
+        .distinct(),
+        scratch,
     )
     if not count:
         return labels
-    found, count = fitted(near(compared(across, texts)).select("a", "b"))
-    return components(near(told).select("a", "b").union(found)) if count else labels
+    found, count = fitted(near(compared(across, texts)).select("a", "b"), scratch)
+    return components(near(told).select("a", "b").union(found), scratch) if count else labels
 
 
 def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -278,19 +279,20 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     by its text, and its class id may then be null. Other columns are ignored.
     """
     rows = keyed(docs, id_column, text_column)
-    signed = cut(rows.mapInArrow(_sign, "id long, key long, digest1 long, digest2 long, bands array<bigint>"))
-    distinct = signed.groupBy("digest1", "digest2").agg(F.min("key").alias("node"), F.first("bands").alias("bands"))
-    banded = distinct.select("node", F.posexplode("bands").alias("band", "hash"))
-    shared = banded.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    members = cut(banded.join(shared, ["band", "hash"]))
-    texts = cut(rows.select(F.col("key").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
-    labels = _linked(members, texts, similarity)
-    nodes = distinct.select("digest1", "digest2", "node")
-    if labels is not None:
-        nodes = nodes.join(labels, "node", "left").select("digest1", "digest2", F.coalesce("class", "node").alias("class"))
-    else:
-        nodes = nodes.withColumnRenamed("node", "class")
-    placed = cut(signed.select("id", "digest1", "digest2").join(nodes, ["digest1", "digest2"]).select("id", "class"))
+    with Scratch(docs.sparkSession, "near") as scratch:
+        signed = scratch.keep(rows.mapInArrow(_sign, "id long, key long, digest1 long, digest2 long, bands array<bigint>"))
+        distinct = scratch.keep(signed.groupBy("digest1", "digest2").agg(F.min("key").alias("node"), F.first("bands").alias("bands")))
+        banded = distinct.select("node", F.posexplode("bands").alias("band", "hash"))
+        shared = banded.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        members = scratch.keep(banded.join(shared, ["band", "hash"]))
+        texts = scratch.keep(rows.select(F.col("key").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+        labels = _linked(members, texts, similarity, scratch)
+        nodes = distinct.select("digest1", "digest2", "node")
+        if labels is not None:
+            nodes = nodes.join(labels, "node", "left").select("digest1", "digest2", F.coalesce("class", "node").alias("class"))
+        else:
+            nodes = nodes.withColumnRenamed("node", "class")
+        placed = cut(signed.select("id", "digest1", "digest2").join(nodes, ["digest1", "digest2"]).select("id", "class"))
     least = placed.groupBy("class").agg(F.min("id").alias("class_id"))
     return placed.join(least, "class").select(F.col("id").alias(id_column), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
 

@@ -1,3 +1,4 @@
+import glob
 import random
 
 import numpy as np
@@ -5,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from prismatica.llm import near_dedup as nd
+from prismatica.llm.common import Scratch
 from prismatica.llm.textblocks import blocks
 
 
@@ -82,8 +84,10 @@ def test_documents(spark, sf):
 def test_components_in_one_task_and_in_rounds(spark, monkeypatch):
     links = spark.createDataFrame([(1, 2), (3, 4), (2, 3), (10, 9), (9, 8), (8, 7), (20, 30), (20, 30)], "a long, b long")
     want = {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 8: 7, 9: 7, 10: 7, 20: 20, 30: 20}
-    assert dict(map(tuple, nd.components(links).collect())) == want
-    monkeypatch.setattr(nd, "SMALL", 1)
-    assert dict(map(tuple, nd.components(links).collect())) == want
-    monkeypatch.undo()
-    assert nd.components(links.limit(0)).count() == 0
+    with Scratch(spark, "test") as scratch:
+        assert dict(map(tuple, nd.components(links, scratch).collect())) == want
+        monkeypatch.setattr(nd, "SMALL", 1)
+        assert dict(map(tuple, nd.components(links, scratch).collect())) == want
+        monkeypatch.undo()
+        assert nd.components(links.limit(0), scratch).count() == 0
+    assert not glob.glob(f"{scratch.folder}*")
