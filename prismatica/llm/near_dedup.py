@@ -11,7 +11,9 @@ elements are done after one point, since times beyond a text's largest register
 can't matter.
 
 Texts that agree in a band of registers are candidates. Equal texts are joined
-first. In a band's group all texts are compared with the group's leader; those
+first, then those near the leader of a group of the first bands, so that later a
+class need stand in a group just once; only groups that then are still of several
+classes are compared node by node. In a band's group all texts are compared with the group's leader; those
 too far from it go on as a group of their own, with several leaders at once,
 until a group is of one class or nothing is left. Pairs on different sides of
 such a split are compared too, unless a bound excludes them: 1 - similarity is a
@@ -39,6 +41,9 @@ REGISTERS = BANDS * ROWS
 #: Times are integers of this many parts, so that sums don't depend on their order.
 PARTS = 2.0**36
 MANY = 32
+#: Bands that are compared before all others.
+FIRST = 4
+PLACE = ["band", "hash"]
 #: Leaders that a split group is compared with in each further round.
 LEADERS = 4
 #: Rows of links, labels and the like up to which one partition is enough.
@@ -214,39 +219,49 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
-def _linked(members: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame | None:
-    """``(node, class)`` of all nodes with a link, from the members ``(band, hash, node)`` of all groups."""
-    far, told, labels, leaders_of, rounds = 1 - similarity, None, None, 1, 0
-    place = ["band", "hash"]
-    near = lambda df: df.filter(F.col("similarity") >= similarity)
+def _texts(rows: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(node, text)`` of the members."""
+    return scratch.keep(rows.select(F.col("key").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+
+
+def _near(told: DataFrame, similarity: float) -> DataFrame:
+    return told.filter(F.col("similarity") >= similarity)
+
+
+def _with_leaders(members: DataFrame, texts: DataFrame, leaders_of: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """``(band, hash, leader, node, a, b, similarity)`` of members and the leaders of their groups, and how many."""
+    kinds = F.pmod(F.xxhash64("node"), F.lit(leaders_of))
+    leaders = members.groupBy(*PLACE, kinds.alias("kind")).agg(F.min("node").alias("leader"))
+    led, count = fitted(
+        members.join(leaders, PLACE).filter("node <> leader").select(*PLACE, "leader", "node", F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")), scratch
+    )
+    if not count:
+        return led, 0
+    return fitted(led.join(compared(led.select("a", "b").distinct(), texts), ["a", "b"]).select(*PLACE, "leader", "node", "a", "b", "similarity"), scratch)
+
+
+def _all_links(members: DataFrame, texts: DataFrame, known: DataFrame, similarity: float, scratch: Scratch) -> DataFrame | None:
+    """Links ``(a, b)`` that join up, with the ``known`` ones, all linked members ``(band, hash, node)`` of each group."""
+    far, told, labels, leaders_of = 1 - similarity, None, None, 1
     while True:
         # one leader a group, later one of each of several kinds
-        kinds = F.pmod(F.xxhash64("node"), F.lit(leaders_of))
-        leaders = members.groupBy(*place, kinds.alias("kind")).agg(F.min("node").alias("leader"))
-        led, count = fitted(members.join(leaders, place).filter("node <> leader").select(*place, "leader", "node", F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")), scratch)
+        rows, count = _with_leaders(members, texts, leaders_of, scratch)
         if not count:
             break
-        # written out each round: plans stay as small as in the first
-        rows, _ = fitted(led.join(compared(led.select("a", "b").distinct(), texts), ["a", "b"]).select(*place, "leader", "node", "a", "b", "similarity"), scratch)
         told = rows if told is None else told.union(rows)
-        rounds += 1
-        if rounds == 1:
-            labels = components(near(rows), scratch)
+        if labels is None:
+            labels = components(known.union(_near(rows, similarity).select("a", "b")), scratch)
         # go on with nodes that are far from all leaders, in groups that aren't known to be of one class
-        rest = (
-            rows.groupBy(*place, "node")
-            .agg(F.max("similarity").alias("best"))
-            .filter(F.col("best") < similarity)
-            .join(rows.select(*place, F.col("leader").alias("node")).distinct(), [*place, "node"], "left_anti")
-            .join(labels, "node", "left")
-            .select(*place, "node", F.coalesce("class", "node").alias("class"))
-        )
-        mixed = rest.groupBy(*place).agg((F.min("class") != F.max("class")).alias("mixed")).filter("mixed").drop("mixed")
-        members, leaders_of = rest.join(mixed, place).select(*place, "node"), LEADERS
+        rest = rows.groupBy(*PLACE, "node").agg(F.max("similarity").alias("best")).filter(F.col("best") < similarity)
+        if leaders_of > 1:
+            rest = rest.join(rows.select(*PLACE, F.col("leader").alias("node")).distinct(), [*PLACE, "node"], "left_anti")
+        rest = rest.join(labels, "node", "left").select(*PLACE, "node", F.coalesce("class", "node").alias("class"))
+        mixed = rest.groupBy(*PLACE).agg((F.min("class") != F.max("class")).alias("mixed")).filter("mixed").drop("mixed")
+        members, leaders_of = rest.join(mixed, PLACE).select(*PLACE, "node"), LEADERS
     if told is None:
         return None
-    if rounds > 1:
-        labels = components(near(told), scratch)
+    links = _near(told, similarity).select("a", "b")
+    labels = components(known.union(links), scratch)
     # across splits: apart so far, and not excluded by the distances to the leader
     label = lambda name: labels.select(F.col("node").alias(name), F.col("class").alias(f"{name}_class"))
     apart = (
@@ -254,20 +269,56 @@ def _linked(members: DataFrame, texts: DataFrame, similarity: float, scratch: Sc
         .join(label("node"), "node", "left")
         .join(label("leader"), "leader")
         .filter(~F.col("node_class").eqNullSafe(F.col("leader_class")))
-        .select(*place, "leader", F.col("node").alias("c"), F.col("similarity").alias("c_similarity"))
+        .select(*PLACE, "leader", F.col("node").alias("c"), F.col("similarity").alias("c_similarity"))
     )
-    beside = near(told).select(*place, "leader", F.col("node").alias("d"), F.col("similarity").alias("d_similarity"))
+    beside = _near(told, similarity).select(*PLACE, "leader", F.col("node").alias("d"), F.col("similarity").alias("d_similarity"))
     across, count = fitted(
-        apart.join(beside, [*place, "leader"])
+        apart.join(beside, [*PLACE, "leader"])
         .filter(F.col("d_similarity") - F.col("c_similarity") <= far)
         .select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"))
         .distinct(),
         scratch,
     )
     if not count:
-        return labels
-    found, count = fitted(near(compared(across, texts)).select("a", "b"), scratch)
-    return components(near(told).select("a", "b").union(found), scratch) if count else labels
+        return links
+    found, _ = fitted(_near(compared(across, texts), similarity).select("a", "b"), scratch)
+    return links.union(found)
+
+
+def _placed(bands: DataFrame, *labels: DataFrame) -> DataFrame:
+    """``(band, hash, node, class0, class1, ...)``: classes are looked up before bands are spread."""
+    for i, label in enumerate(labels):
+        bands = bands.join(label.withColumnRenamed("class", f"found{i}"), "node", "left").withColumn(f"class{i}", F.coalesce(f"found{i}", "node")).drop(f"found{i}")
+    return bands.select("node", *[f"class{i}" for i in range(len(labels))], F.posexplode("bands").alias("band", "hash"))
+
+
+def _linked(bands: DataFrame, rows: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """``(node, class)`` of all nodes with a link, from the ``bands`` of each node.
+
+    A few bands and one leader a group find most links. Then, over all bands, a
+    class stands in a group as its least node. Groups that are still of several
+    classes, one of which stands for several nodes there, are compared node by node.
+    """
+    first = bands.select("node", F.posexplode(F.slice("bands", 1, FIRST)).alias("band", "hash"))
+    shared = first.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    members, _ = fitted(first.join(shared, PLACE), scratch)
+    told, count = _with_leaders(members, _texts(rows, members, scratch), 1, scratch)
+    links = _near(told, similarity).select("a", "b") if count else told.select("a", "b").limit(0)
+    labels = components(links, scratch)
+
+    ones = _placed(bands, labels).groupBy(*PLACE, "class0").agg(F.min("node").alias("node"))
+    mixed = ones.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    members, count = fitted(ones.join(mixed, PLACE).select(*PLACE, "node"), scratch)
+    if count and (found := _all_links(members, _texts(rows, members, scratch), links, similarity, scratch)) is not None:
+        links = links.union(found)
+    before, labels = labels, components(links, scratch)
+
+    sizes = _placed(bands, before, labels).groupBy(*PLACE, "class0", "class1").agg(F.count(F.lit(1)).alias("n"))
+    open_ = sizes.groupBy(*PLACE).agg((F.min("class1") != F.max("class1")).alias("mixed"), F.max("n").alias("n")).filter("mixed and n > 1").select(*PLACE)
+    members, count = fitted(_placed(bands).join(scratch.keep(open_), PLACE).select(*PLACE, "node"), scratch)
+    if count and (found := _all_links(members, _texts(rows, members, scratch), links, similarity, scratch)) is not None:
+        labels = components(links.union(found), scratch)
+    return labels
 
 
 def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -282,16 +333,8 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     with Scratch(docs.sparkSession, "near") as scratch:
         signed = scratch.keep(rows.mapInArrow(_sign, "id long, key long, digest1 long, digest2 long, bands array<bigint>"))
         distinct = scratch.keep(signed.groupBy("digest1", "digest2").agg(F.min("key").alias("node"), F.first("bands").alias("bands")))
-        banded = distinct.select("node", F.posexplode("bands").alias("band", "hash"))
-        shared = banded.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-        members = scratch.keep(banded.join(shared, ["band", "hash"]))
-        texts = scratch.keep(rows.select(F.col("key").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
-        labels = _linked(members, texts, similarity, scratch)
-        nodes = distinct.select("digest1", "digest2", "node")
-        if labels is not None:
-            nodes = nodes.join(labels, "node", "left").select("digest1", "digest2", F.coalesce("class", "node").alias("class"))
-        else:
-            nodes = nodes.withColumnRenamed("node", "class")
+        labels = _linked(distinct.select("node", "bands"), rows, similarity, scratch)
+        nodes = distinct.join(labels, "node", "left").select("digest1", "digest2", F.coalesce("class", "node").alias("class"))
         placed = cut(signed.select("id", "digest1", "digest2").join(nodes, ["digest1", "digest2"]).select("id", "class"))
     least = placed.groupBy("class").agg(F.min("id").alias("class_id"))
     return placed.join(least, "class").select(F.col("id").alias(id_column), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
