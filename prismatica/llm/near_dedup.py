@@ -233,14 +233,10 @@ def _linked(members: DataFrame, texts: DataFrame, similarity: float, scratch: Sc
         if rounds == 1:
             labels = components(near(rows), scratch)
         # go on with nodes that are far from all leaders, in groups that aren't known to be of one class
-        rest = (
-            rows.groupBy(*place, "node")
-            .agg(F.max("similarity").alias("best"))
-            .filter(F.col("best") < similarity)
-            .join(rows.select(*place, F.col("leader").alias("node")).distinct(), [*place, "node"], "left_anti")
-            .join(labels, "node", "left")
-            .select(*place, "node", F.coalesce("class", "node").alias("class"))
-        )
+        rest = rows.groupBy(*place, "node").agg(F.max("similarity").alias("best")).filter(F.col("best") < similarity)
+        if leaders_of > 1:  # a sole leader isn't among its group's nodes
+            rest = rest.join(rows.select(*place, F.col("leader").alias("node")).distinct(), [*place, "node"], "left_anti")
+        rest = rest.join(labels, "node", "left").select(*place, "node", F.coalesce("class", "node").alias("class"))
         mixed = rest.groupBy(*place).agg((F.min("class") != F.max("class")).alias("mixed")).filter("mixed").drop("mixed")
         members, leaders_of = rest.join(mixed, place).select(*place, "node"), LEADERS
     if told is None:
