@@ -45,7 +45,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = license_scan.documents_as_files(table(spark, sf_dir, "documents"))
-    return license_scan.scan(files, license_file_column="is_license_file", keep_text=False).drop("is_license_file")
+    return license_scan.scan(files, license_file_column="is_license_file", keep_text=False, texts_are_files=True).drop("is_license_file")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

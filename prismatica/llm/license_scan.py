@@ -1,11 +1,18 @@
 """License scans by sparse TF-IDF cosine, inherited along directories (DataFrame functions only).
 
-Header lines and lines of licence files are compared with notice templates in
-the space of their terms. Term weights come from the templates alone (a fixed
-table), so no statistic has to be gathered first. A line can reach the
-threshold only if it holds one of the templates' leading terms: without those,
-what is left of a template is shorter than the threshold. That exact test drops
-almost all lines before any term is counted.
+Lines are compared with notice templates in the space of their terms. A line
+can reach the threshold only if it holds one of the templates' leading terms:
+without those, what is left of a template is shorter than the threshold. That
+exact test drops almost all lines before any term is counted.
+
+Whole texts are compared with licence texts, and leading comment blocks and
+joined neighbouring lines with licence headers, with logarithmic counts. They
+must hold one of HINTS. Again a text with too few of a template's terms is
+dropped exactly: no passage can score more than the length of the part of the
+template whose terms the text has.
+
+Term weights come from the templates alone (a fixed table), so no statistic has
+to be gathered first.
 
 Files without a notice of their own inherit that of the nearest ancestor
 directory with a licence file, by equi-joins of directories with their prefixes.
@@ -13,14 +20,17 @@ directory with a licence file, by equi-joins of directories with their prefixes.
 
 from __future__ import annotations
 
+import json
 import math
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, cut, filled
+from .license_texts import FULL, HEADERS, SPDX
 
 # Short notices as published by the licences' stewards or in common use.
 TEMPLATES = {
@@ -33,9 +43,22 @@ TEMPLATES = {
 }
 THRESHOLD = 0.8
 TERM = "[a-z0-9]+"
-#: A file of no more words, with a notice, is its directory's licence file (in the registered query).
+#: A file of no more words, with a notice, is its directory's licence file (in the registered query), and so is a whole licence text.
 LICENSE_FILE_WORDS = 60
 SALTS = 16
+#: Numbers of neighbouring lines that are joined.
+SPANS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 18, 22, 27, 33)
+#: Characters of a passage, white space and marks counted as one; the longest header has 1500, and twice as much foreign text is far below the threshold.
+PASSAGE = 5000
+#: A copyright statement with its year, which no template holds.
+COPYRIGHT = r"(?:copyright|\(c\)|©)(?=[^\n]{0,60}(?:19|20)[0-9]{2})(?:(?!permission|redistrib|licen|all rights)[^\n.]){0,80}\.?"
+#: Lines with comment marks and blank lines at the start.
+MARKED = r"\A((?:[ \t]*(?:#|//|--|;|%|\*|rem\b|dnl\b)[^\n]*(?:\n|\z)|[ \t\r]*\n)*+)"
+#: A block comment at the start, after a first line of "#!" or "<?".
+ENCLOSED = r"\A(?:(?:#!|<\?)[^\n]*\n)?\s*(?:/\*|<!--|\"\"\"|\(\*|\{-)((?s:.*?))(?:\*/|-->|\"\"\"|\*\)|-\})"
+#: What a licence text or header holds one of, as all templates do: texts without are not looked at.
+HINTS = ("licen", "copyright", "warrant")
+IDENTIFIER = r"spdx-license-identifier:[ \t]*\(?([a-z0-9.+-]+)"
 
 
 def idf(templates: dict[str, str]) -> tuple[dict[str, float], float]:
@@ -73,19 +96,109 @@ def leading(templates: dict[str, str], threshold: float) -> list[str]:
     return sorted(chosen)
 
 
-def scan(files: DataFrame, path_column: str = "path", text_column: str = "text", license_file_column: str | None = None, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, keep_text: bool = True) -> DataFrame:
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+class Space:
+    """Templates as unit vectors of weighted logarithmic term counts, and the cosines of passages with them."""
+
+    def __init__(self, templates: list[tuple[str, str]], threshold: float) -> None:
+        self.names, self.threshold = [name for name, _ in templates], threshold
+        counts = [re.findall(TERM, re.sub(COPYRIGHT, " ", text.lower())) for _, text in templates]
+        weights, self.outside = idf({str(i): " ".join(terms) for i, terms in enumerate(counts)})
+        self.unit = []
+        for terms in counts:
+            raw = {t: (1 + math.log(terms.count(t))) * weights[t] for t in sorted(set(terms))}
+            norm = math.sqrt(sum(v * v for v in raw.values()))
+            self.unit.append({t: v / norm for t, v in raw.items()})
+        # by term: its weight, then its share in each template; a literal that is folded once
+        table = {t: [w, *(u.get(t, 0) for u in self.unit)] for t, w in weights.items()}
+        self.table = F.from_json(F.lit(json.dumps(table)), "map<string,array<double>>")
+        self.zeros = F.array(*[F.lit(0.0)] * (len(self.names) + 1))
+
+    def _sum(self, entries: Column, scaled: Callable[[Column, Column], Column]) -> Column:
+        return F.aggregate(entries, self.zeros, lambda acc, x: F.zip_with(acc, x["entry"], lambda a, s: a + scaled(x, s)))
+
+    def possible(self, low: Column) -> Column:
+        """Whether the text has enough of a template's terms for any of its passages to reach the threshold."""
+        entries = F.transform(F.array_intersect(found(low), F.map_keys(self.table)), lambda t: F.struct(F.try_element_at(self.table, t).alias("entry")))
+        mass = self._sum(entries, lambda x, s: s * s)
+        return F.array_max(F.slice(mass, 2, len(self.names))) >= self.threshold**2 - 1e-9
+
+    def best(self, passage: Column) -> Column:
+        """``(minus, license)``: the least of the negative cosines, then of the names."""
+
+        def counted(terms: Column) -> Column:
+            count = lambda t: F.size(terms) - F.size(F.array_remove(terms, t))
+            return F.transform(F.array_distinct(terms), lambda t: F.struct((1 + F.log(count(t))).alias("count"), F.try_element_at(self.table, t).alias("entry")))
+
+        def scored(terms: Column) -> Column:
+            weight = lambda x: x["count"] * F.coalesce(x["entry"][0], F.lit(self.outside))
+            norm = F.sqrt(F.aggregate(terms, F.lit(0.0), lambda a, x: a + weight(x) * weight(x)))
+            return bound(norm, lambda n: bound(self._sum(F.filter(terms, lambda x: x["entry"].isNotNull()), lambda x, s: s * weight(x)), lambda dots: self._least(dots, n)))
+
+        return bound(found(passage), lambda terms: bound(counted(terms), scored))
+
+    def _least(self, dots: Column, norm: Column) -> Column:
+        minus = lambda d: -F.coalesce(F.round(F.try_divide(d, norm), 6), F.lit(0.0))
+        names = F.array(*[F.lit(n) for n in self.names])
+        return F.array_min(F.zip_with(F.slice(dots, 2, len(self.names)), names, lambda d, n: F.struct(minus(d).alias("minus"), n.alias("license"))))
+
+
+def found(low: Column) -> Column:
+    return F.regexp_extract_all(low, F.lit(f"({TERM})"), F.lit(1))
+
+
+def hinted(low: Column) -> Column:
+    return reduce(lambda a, b: a | b, [low.contains(h) for h in HINTS])
+
+
+def passages(low: Column) -> Column:
+    """The leading comment block, and all runs of SPANS neighbouring lines, if they have a hint and at most PASSAGE characters."""
+    plain = lambda t: F.regexp_replace(t, "[^a-z0-9\n]+", " ")
+    fitting = lambda t: (F.length(t) <= PASSAGE) & hinted(t)
+
+    def runs(lines: Column) -> Column:
+        of = lambda k: F.transform(F.sequence(F.lit(1), F.size(lines) - (k - 1)), lambda i: F.array_join(F.slice(lines, i, F.lit(k)), "\n"))
+        return F.flatten(F.array(*[F.when(F.size(lines) >= k, F.filter(of(k), fitting)).otherwise(F.array().cast("array<string>")) for k in SPANS]))
+
+    blocks = F.filter(F.array(plain(F.regexp_extract(low, MARKED, 1)), plain(F.regexp_extract(low, ENCLOSED, 1))), fitting)
+    return F.array_distinct(F.concat(blocks, bound(F.split(plain(low), "\n", -1), runs)))
+
+
+def licensed(low: Column, full: Space, headers: Space) -> Column:
+    """``(minus, license, whole)`` of a lower-case text: a whole licence text, else the best header or SPDX identifier."""
+    of = lambda best, whole: F.struct(best["minus"].alias("minus"), best["license"].alias("license"), F.lit(whole).alias("whole"))
+    clean = F.regexp_replace(low, COPYRIGHT, " ")
+    text = F.when(hinted(low) & full.possible(low), bound(full.best(clean), lambda b: F.when(-b["minus"] >= full.threshold, of(b, True))))
+    header = F.when(hinted(low) & headers.possible(low), bound(F.array_min(F.transform(passages(clean), headers.best)), lambda b: F.when(-b["minus"] >= headers.threshold, of(b, False))))
+    known = F.create_map(*[F.lit(x) for pair in SPDX.items() for x in pair])
+    names = F.filter(F.transform(F.regexp_extract_all(low, F.lit(IDENTIFIER), F.lit(1)), lambda i: F.try_element_at(known, i)), lambda n: n.isNotNull())
+    named = F.when(low.contains("spdx-license-identifier"), bound(F.array_min(names), lambda n: F.when(n.isNotNull(), F.struct(F.lit(-1.0).alias("minus"), n.alias("license"), F.lit(False).alias("whole")))))
+    return F.coalesce(text, F.array_min(F.array_compact(F.array(header, named))))
+
+
+def scan(files: DataFrame, path_column: str = "path", text_column: str = "text", license_file_column: str | None = None, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, keep_text: bool = True, texts_are_files: bool = False) -> DataFrame:
     """``files`` plus ``license, how`` (own, inherited, none), ``score`` and ``from_dir``.
 
-    A file's own licence is the template with the best cosine over its lines, at
-    least ``threshold``; ties go to the first name. A directory's licence is
-    that of its files for which ``license_file_column`` is true (default: base
-    name LICENSE, LICENCE or COPYING), the best score first, then the first path.
+    A file's own licence is that of the whole licence text it holds, else the one
+    with the best cosine over its lines, joined neighbouring lines and leading
+    comment block, at least ``threshold``; ties go to the first name, and a known
+    SPDX identifier scores 1. Copyright statements don't count but in lines.
+    With ``templates``, lines alone are compared, with these.
+    A directory's licence is that of its files for which ``license_file_column``
+    is true (default: base name LICENSE, LICENCE or COPYING; with
+    ``texts_are_files`` also whole licence texts), the best score first, then the
+    first path.
     Null paths have no directory and inherit nothing; null and empty texts have
     no notice. Result columns replace columns of the same names; rows with
     equal paths are treated alike, and repeated rows stay repeated. Without
     ``keep_text`` the text is left out, and notices are written to the shared
     folder first, so that texts are read once.
     """
+    more = not templates
     templates = templates or TEMPLATES
     weights, outside = idf(templates)
     text, path = filled(text_column), F.col(path_column).cast("string")
@@ -112,19 +225,25 @@ def scan(files: DataFrame, path_column: str = "path", text_column: str = "text",
         norm = F.sqrt(total(F.transform(line, lambda x: x["weight"] * x["weight"])))
         return F.struct(norm.alias("norm"), F.transform(unit, lambda u: F.struct(u["license"].alias("license"), dot(u).alias("dot"))).alias("dots"))
 
-    def best(found: Column) -> Column:
+    def best(line: Column) -> Column:
         # largest score, first name: smallest of (-score, name)
-        minus = lambda d: -F.coalesce(F.round(F.try_divide(d["dot"], found["norm"]), 6), F.lit(0.0))
-        return F.array_min(F.transform(found["dots"], lambda d: F.struct(minus(d).alias("minus"), d["license"].alias("license"))))
+        minus = lambda d: -F.coalesce(F.round(F.try_divide(d["dot"], line["norm"]), 6), F.lit(0.0))
+        return F.array_min(F.transform(line["dots"], lambda d: F.struct(minus(d).alias("minus"), d["license"].alias("license"), F.lit(False).alias("whole"))))
 
     own = F.array_min(F.transform(F.transform(F.transform(tests, weighted), products), best))
+    wider = F.lit(None).cast("struct<minus:double,license:string,whole:boolean>")
+    if more:
+        wider = licensed(F.lower(text), Space([*FULL.items()], threshold), Space([(name, t) for name, several in HEADERS.items() for t in several], threshold))
     result = ("license", "how", "score", "from_dir")
     kept = [c for c in files.columns if c not in result and (keep_text or c != text_column)]
     is_file = F.col(license_file_column).cast("boolean") if license_file_column else F.regexp_extract(path, "([^/]*)$", 1).rlike("^(LICENSE|LICENCE|COPYING)(\\.|$)")
     directory = F.when(path.isNotNull(), F.regexp_replace(path, "/?[^/]*$", ""))
     noticed = files.select(
-        *[F.col(c) for c in kept], path.alias("__path"), directory.alias("__dir"), F.coalesce(is_file, F.lit(False)).alias("__file"), F.when(holds & F.lower(text).rlike(cue), own).alias("__own")
+        *[F.col(c) for c in kept], path.alias("__path"), directory.alias("__dir"), F.coalesce(is_file, F.lit(False)).alias("__file"), F.when(holds & F.lower(text).rlike(cue), own).alias("__own"), wider.alias("__wider")
     ).withColumn("__own", F.when(-F.col("__own.minus") >= threshold, F.col("__own")))
+    noticed = noticed.withColumn("__own", F.when(F.col("__wider.whole"), F.col("__wider")).otherwise(F.array_min(F.array_compact(F.array("__own", "__wider"))))).drop("__wider")
+    if texts_are_files:
+        noticed = noticed.withColumn("__file", F.col("__file") | F.coalesce("__own.whole", F.lit(False)))
     if not keep_text:
         noticed = cut(noticed)
 
