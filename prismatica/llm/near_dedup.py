@@ -41,6 +41,8 @@ PARTS = 2.0**36
 MANY = 32
 #: Leaders that a split group is compared with in each further round.
 LEADERS = 4
+#: Margin for rounding in the bounds that choose what to compare.
+MARGIN = 1e-9
 #: Rows of links, labels and the like up to which one partition is enough.
 SMALL = 300_000
 
@@ -246,7 +248,7 @@ def _linked(members: DataFrame, texts: DataFrame, similarity: float, scratch: Sc
     # across splits: apart so far, and not excluded by the distances to the leader
     label = lambda name: labels.select(F.col("node").alias(name), F.col("class").alias(f"{name}_class"))
     apart = (
-        told.filter((F.col("similarity") < similarity) & (F.col("similarity") >= 1 - 2 * far))
+        told.filter((F.col("similarity") < similarity) & (F.col("similarity") >= 1 - 2 * far - MARGIN))
         .join(label("node"), "node", "left")
         .join(label("leader"), "leader")
         .filter(~F.col("node_class").eqNullSafe(F.col("leader_class")))
@@ -255,7 +257,7 @@ def _linked(members: DataFrame, texts: DataFrame, similarity: float, scratch: Sc
     beside = near(told).select(*place, "leader", F.col("node").alias("d"), F.col("similarity").alias("d_similarity"))
     across, count = fitted(
         apart.join(beside, [*place, "leader"])
-        .filter(F.col("d_similarity") - F.col("c_similarity") <= far)
+        .filter(F.col("d_similarity") - F.col("c_similarity") <= far + MARGIN)
         .select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"))
         .distinct(),
         scratch,

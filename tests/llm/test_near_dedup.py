@@ -91,3 +91,13 @@ def test_components_in_one_task_and_in_rounds(spark, monkeypatch):
         monkeypatch.undo()
         assert nd.components(links.limit(0), scratch).count() == 0
     assert not glob.glob(f"{scratch.folder}*")
+
+
+def test_ties_across_a_leader_are_compared(spark):
+    # of ten windows, the leader and another text lack a different fifth each: 0.8 to the third text, 0.6 to one another
+    words = [f"w{i}" for i in range(14)]
+    members = spark.createDataFrame([(0, 1, node) for node in (1, 2, 3)], "band int, hash long, node long")
+    texts = spark.createDataFrame([(1, " ".join(words[:12])), (2, " ".join(words[2:])), (3, " ".join(words))], "node long, text string")
+    with Scratch(spark, "test") as scratch:
+        labels = {r.node: r["class"] for r in nd._linked(members, texts, 0.8, scratch).collect()}
+    assert labels == {1: 1, 2: 1, 3: 1}
