@@ -2,7 +2,8 @@
 
 A block is a slice of an Arrow batch: all bytes of its documents in one array,
 plus document offsets. Hashes are polynomials over randomised symbols modulo
-2**64, read off prefix sums, so a window of any length costs the same.
+the prime 2**61 - 1 (modulo 2**64 some strings would collide for every base),
+read off prefix sums, so a window of any length costs the same.
 """
 
 from __future__ import annotations
@@ -17,6 +18,12 @@ import pyarrow.compute as pc
 
 U = np.uint64
 BLOCK_BYTES = 2 << 20
+#: Powers kept between blocks.
+KEPT_POWERS = 4 << 20
+PRIME = U(2**61 - 1)
+#: Numbers multiplied at a time, so that what lies between stays in cache.
+CACHED = 1 << 14
+LOW31, LOW30 = U(2**31 - 1), U(2**30 - 1)
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -36,33 +43,76 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
+def reduced(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2**63 modulo PRIME."""
+    x = (x & PRIME) + (x >> U(61))
+    x -= PRIME * (x >= PRIME)
+    return x
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of numbers below PRIME, modulo PRIME; ``b`` may be one number."""
+    out = np.empty(len(a), U)
+    for lo in range(0, len(a), CACHED):
+        x, y = a[lo : lo + CACHED], b[lo : lo + CACHED] if len(b) > 1 else b
+        x1, x0, y1, y0 = x >> U(31), x & LOW31, y >> U(31), y & LOW31
+        middle = x1 * y0
+        middle += x0 * y1
+        # 2**62 is 2 and 2**61 is 1
+        x1 *= y1
+        x1 <<= U(1)
+        x1 += middle >> U(30)
+        middle &= LOW30
+        middle <<= U(31)
+        x1 += middle
+        x0 *= y0
+        x1 = (x1 & PRIME) + (x1 >> U(61))
+        x1 += x0
+        out[lo : lo + CACHED] = reduced(x1)
+    return out
+
+
 class Powers:
-    """Powers of an odd base and of its inverse, modulo 2**64, grown on demand."""
+    """Powers of a random base and of its inverse modulo the prime 2**61 - 1, grown on demand.
+
+    Two different sequences of at most n symbols get equal hashes with a chance
+    of n / 2**61 over the random base, whatever the sequences are.
+    """
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
-        self.base = int(rng.integers(1, 2**63)) | 1
-        self.symbols = rng.integers(0, 2**63, 256, dtype=np.uint64) * U(2) + rng.integers(0, 2, 256, dtype=np.uint64)
+        self.base = int(rng.integers(2**32, int(PRIME) - 1))
+        self.symbols = rng.integers(1, 2**61 - 1, 256, dtype=np.uint64)
         self.up = self.down = np.ones(1, U)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, min(2 * n, n + BLOCK_BYTES))
-            grow = lambda b: np.concatenate([[U(1)], np.cumprod(np.full(size - 1, b, U))])
-            self.up, self.down = grow(self.base), grow(pow(self.base, -1, 2**64))
-        return self.up[:n], self.down[:n]
+        if len(self.up) >= n:
+            return self.up[:n], self.down[:n]
+        up, down = _grown(self.up, self.base, n), _grown(self.down, pow(self.base, -1, int(PRIME)), n)
+        if n <= KEPT_POWERS:  # those of one very long text aren't kept
+            self.up, self.down = up, down
+        return up[:n], down[:n]
 
     def prefix(self, values: np.ndarray) -> np.ndarray:
-        """Prefix sums of value times power; bytes are first replaced by random symbols."""
-        values = self.symbols[values] if values.dtype == np.uint8 else values
+        """Prefix sums of symbol times power; bytes are first replaced by random symbols."""
+        values = self.symbols[values] if values.dtype == np.uint8 else reduced(values >> U(2))
+        terms = product(values, self.upto(len(values))[0])
         out = np.zeros(len(values) + 1, U)
-        np.cumsum(values * self.upto(len(values))[0], out=out[1:])
+        # in two halves, whose sums don't overflow
+        out[1:] = reduced(product(reduced(np.cumsum(terms >> U(30))), np.full(1, 1 << 30, U)) + reduced(np.cumsum(terms & LOW30)))
         return out
 
     def spans(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hash of each span [start, end)."""
         down = self.upto(len(prefix))[1]
-        return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(U))
+        return mix(product(reduced(prefix[ends] + (PRIME - prefix[starts])), down[starts]) + (ends - starts).astype(U) * U(MIX[0]))
+
+
+def _grown(powers: np.ndarray, base: int, n: int) -> np.ndarray:
+    """At least ``n`` powers, by doubling."""
+    while len(powers) < n:
+        powers = np.concatenate([powers, product(powers, np.full(1, pow(base, len(powers), int(PRIME)), U))])
+    return powers
 
 
 #: Independent families of hashes.
