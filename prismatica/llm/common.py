@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import posixpath
 import tempfile
 import uuid
+from contextlib import suppress
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +45,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:  # the session may have been stopped before
+        with suppress(Py4JError, OSError):  # or its JVM
+            delete(spark, path)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, made different from all columns."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns, whatever marks their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 class Scratch:
     """Tables in the shared folder that last as long as one operator runs.
 
@@ -58,8 +85,14 @@ class Scratch:
         return self
 
     def __exit__(self, *_: object) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, self.folder)
+
+    def last(self, df: DataFrame) -> DataFrame:
+        """Write the operator's result to a table that stays until the session ends."""
+        path = posixpath.join(shared_folder(self.spark), f"{posixpath.basename(self.folder)}-result")
+        df.write.parquet(path)
+        atexit.register(_forget, self.spark, path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write the rows out and read them again."""
@@ -77,15 +110,14 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def keyed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``(id, key, text)``: key identifies a row inside an operator.
+def row_key(id_column: str = "doc_id", text_column: str = "text") -> Column:
+    """A 64-bit hash of id and text: what identifies a row inside an operator.
 
-    It is the id, or a hash of the text where the id is null. Rows that repeat
-    an id must repeat its text; they then share a key and get equal results.
+    Rows that repeat both share it, and get equal results.
     """
-    text = filled(text_column)
-    return docs.select(
-        F.col(id_column).cast("long").alias("id"),
-        F.coalesce(F.col(id_column).cast("long"), F.xxhash64(text)).alias("key"),
-        text.alias("text"),
-    )
+    return F.xxhash64(F.col(id_column).cast("long"), filled(text_column))
+
+
+def keyed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``(id, key, text)`` with the row key; ids may be null or repeated."""
+    return docs.select(F.col(id_column).cast("long").alias("id"), row_key(id_column, text_column).alias("key"), filled(text_column).alias("text"))

@@ -1,6 +1,6 @@
 """Compact exchanges between documents and shards of hashes.
 
-Documents are grouped in buckets of neighbouring ids. A bucket tells each shard
+Documents are dealt into buckets. A bucket tells each shard
 which hashes it holds, once each (so what one key can send to its shard is
 bounded by the number of buckets, not by its copies), in a few bytes a hash. A
 shard finds what is repeated and answers the buckets. Text crosses the network
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import keyed, shuffle_width
 from .textblocks import U
 
-#: Documents with neighbouring ids in one bucket.
+#: Documents of a bucket, on average.
 BUCKET = 64
 CODE_BITS = 38
 CODE_MASK = U((1 << CODE_BITS) - 1)
@@ -27,8 +27,10 @@ MESSAGES = "shard int, bucket long, kind int, payload binary"
 
 
 def bucketed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """``(bucket, id, key, text)``."""
-    return keyed(docs, id_column, text_column).select(F.floor(F.col("key") / BUCKET).cast("long").alias("bucket"), "id", "key", "text")
+    """``(bucket, id, key, text)``; rows are dealt by their key, however sparse or equal ids are."""
+    rows = keyed(docs, id_column, text_column)
+    buckets = max(shards(docs), -(-rows.count() // BUCKET))
+    return rows.select(F.pmod("key", F.lit(buckets)).alias("bucket"), "id", "key", "text")
 
 
 def shards(docs: DataFrame) -> int:

@@ -10,14 +10,23 @@ two texts agree with the probability of their weighted Jaccard similarity. Most
 elements are done after one point, since times beyond a text's largest register
 can't matter.
 
-Texts that agree in a band of registers are candidates. Equal texts are joined
-first. In a band's group all texts are compared with the group's leader; those
-too far from it go on as a group of their own, with several leaders at once,
-until a group is of one class or nothing is left. Pairs on different sides of
-such a split are compared too, unless a bound excludes them: 1 - similarity is a
-metric, so their distances to the leader must differ by no more than the allowed
-distance, and pairs that are connected already need no link. So no link between candidates is lost, without pairing whole groups.
-Classes are the connected components of the links.
+Texts that agree in a band of registers are candidates; equal texts are joined
+first. Candidates are settled in two steps:
+
+1. Every text is compared with one leader: of the leaders of its bands' groups,
+   the one that shares most bands with others, so that the copies of a text meet
+   their original. One comparison a text; the links form a forest.
+2. Groups that are now of one class are done. In each other group, the texts of
+   the commonest class and the rest are dealt into blocks; every pair of blocks
+   is one piece of work, except two of the commonest class. A piece compares only
+   texts of different classes that two bounds leave open: sizes must be within
+   the similarity, and distances to a common leader within the allowed distance
+   (1 - similarity is a metric). Texts linked on the way count as one class.
+
+So every pair of candidates is linked, in one class already, compared or excluded
+by a bound; no link is lost. A group of copies costs one comparison a copy; what
+is quadratic is only the number of texts of a group that belong to none of its
+large classes. Classes are the connected components of the links.
 """
 
 from __future__ import annotations
@@ -26,11 +35,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, cut, keyed, shuffle_width
-from .textblocks import FAMILIES, U, Block, blocks, mix, windows
+from .common import Scratch, columns, keyed, row_key, shuffle_width, unused
+from .textblocks import FAMILIES, U, Block, blocks, mix, ranges, windows
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -39,12 +48,10 @@ REGISTERS = BANDS * ROWS
 #: Times are integers of this many parts, so that sums don't depend on their order.
 PARTS = 2.0**36
 MANY = 32
-#: Leaders that a split group is compared with in each further round.
-LEADERS = 4
 #: Margin for rounding in the bounds that choose what to compare.
 MARGIN = 1e-9
-#: Rows of links, labels and the like up to which one partition is enough.
-SMALL = 300_000
+#: Texts and elements of a block: what a piece of work holds at most twice (or one longer text).
+BLOCK_TEXTS, BLOCK_ELEMENTS = 1024, 1 << 21
 
 
 def elements(block: Block, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,25 +113,36 @@ def band_hashes(registers: np.ndarray) -> np.ndarray:
     return out
 
 
-def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Multiset Jaccard similarity of two (sorted elements, weights)."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    common = np.minimum(a[1][i], b[1][j]).sum()
-    total = a[1].sum() + b[1].sum() - common
-    return float(common / total) if total else 0.0
+def expanded(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multisets as sets of (element, which occurrence), hashed: bounds of the documents, and values.
+
+    Sizes of intersections and unions are those of the multisets.
+    """
+    again = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
+    values = np.repeat(element, weight)
+    some = again > 0
+    values[some] = mix(values[some] + again[some].astype(U) * U(0x9E3779B97F4A7C15), 9)
+    return np.searchsorted(np.repeat(doc, weight), np.arange(n + 1)), values
+
+
+def similarities(values: np.ndarray, sizes: np.ndarray, inside: np.ndarray, size: int) -> np.ndarray:
+    """Jaccard similarity of sets, given one after another, to the set that ``inside`` marks."""
+    common = np.add.reduceat(inside[values].astype(np.int64), np.cumsum(sizes) - sizes)
+    return common / (sizes + size - common)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in blocks(batch.column("text")):
             bands = band_hashes(signatures(*elements(block), block.n))
-            # the word sequence, twice 64 bits
+            # the word sequence, twice 61 bits
             digests = []
             for family in (0, 1):
                 power = FAMILIES[family + 1]
                 digests.append(power.spans(power.prefix(block.word_hash(family)), block.word_off[:-1], block.word_off[1:]))
             part = batch.slice(block.lo, block.n)
             empty = np.diff(block.word_off) == 0
+            ends = np.cumsum(np.append(0, np.where(empty, 0, BANDS))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("id"),
@@ -132,170 +150,227 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(digests[0].view(np.int64)),
                     # texts without words are equal to none but themselves
                     pa.array(np.where(empty, part.column("key").to_numpy(), digests[1].view(np.int64))),
-                    pa.ListArray.from_arrays(np.arange(0, block.n * BANDS + 1, BANDS, dtype=np.int32), bands.view(np.int64).ravel()).filter(pa.array(np.ones(block.n, bool)))
-                    if not empty.any()
-                    else pa.array([[] if e else b for e, b in zip(empty, bands.view(np.int64).tolist())], pa.list_(pa.int64())),
+                    pa.ListArray.from_arrays(ends, bands[~empty].view(np.int64).ravel()),
                 ],
                 names=["id", "key", "digest1", "digest2", "bands"],
             )
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
-            sides = []
-            for name in ("text_a", "text_b"):
-                own = []
-                for block in blocks(part.column(name)):
-                    doc, element, weight = elements(block)
-                    bounds = np.searchsorted(doc, np.arange(block.n + 1))
-                    own += [(element[x:y], weight[x:y]) for x, y in zip(bounds[:-1], bounds[1:])]
-                sides.append(own)
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array([overlap(x, y) for x, y in zip(*sides)], pa.float64())], names=["a", "b", "similarity"])
-
-
-def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``(a, b)`` with ``similarity``, from the whole texts of both."""
-    width = shuffle_width(texts.sparkSession)
-    return (
-        pairs.repartition(width, "b")
-        .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        .select("a", "b", "text_a", "text_b")
-        .mapInArrow(_compare, "a long, b long, similarity double")
-    )
-
-
-def fitted(df: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
-    """Materialise and count; what has at most SMALL rows continues as one partition, without shuffles."""
-    df = scratch.keep(df)
-    rows = df.count()
-    return (df.coalesce(1) if rows <= SMALL else df), rows
-
-
-def _least_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = [(batch.column("a").to_numpy(), batch.column("b").to_numpy()) for batch in batches]
-    if not parts:
-        return
-    a, b = (np.concatenate(side) for side in zip(*parts))
-    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-    above = list(range(len(nodes)))
+        for block in blocks(batch.column("text")):
+            bounds, values = expanded(*elements(block), block.n)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node").slice(block.lo, block.n), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(bounds.astype(np.int32), values.view(np.int64))],
+                names=["node", "size", "elements"],
+            )
 
-    def top(i: int) -> int:
-        while above[i] != i:
-            above[i] = i = above[above[i]]
-        return i
 
-    for x, y in zip(place[: len(a)].tolist(), place[len(a) :].tolist()):
-        x, y = top(x), top(y)
-        above[max(x, y)] = min(x, y)
-    least = nodes[[top(i) for i in range(len(nodes))]] if len(nodes) else nodes
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(least, pa.int64())], names=["node", "class"])
+def pieces(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """The rows of each piece of work, from rows that are sorted by the named columns."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(name).to_numpy() for name in names]
+        new = np.zeros(batch.num_rows, bool)
+        for key in keys:
+            new[1:] |= key[1:] != key[:-1]
+        bounds = np.concatenate([[0], np.flatnonzero(new), [batch.num_rows]])
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            key = tuple(k[lo] for k in keys)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sets(piece: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, sizes and numbered elements of a piece's rows, and how many different elements there are."""
+    column = piece.column("elements").combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    off = column.offsets.to_numpy().astype(np.int64)
+    values = column.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]]
+    distinct, numbers = np.unique(values, return_inverse=True)
+    return off[:-1] - off[0], np.diff(off), numbers.astype(np.int32), len(distinct)
+
+
+def _to_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Similarity of each text of a piece to the piece's leader."""
+    for piece in pieces(batches, ["leader", "block"]):
+        node, leader = piece.column("node").to_numpy(), piece.column("leader")[0].as_py()
+        start, size, values, n = _sets(piece)
+        lead = int(np.flatnonzero(node == leader)[0])
+        inside = np.zeros(n, bool)
+        inside[values[start[lead] : start[lead] + size[lead]]] = True
+        found, others = similarities(values, size, inside, size[lead]), node != leader
+        yield pa.RecordBatch.from_arrays([pa.array(node[others]), pa.array(np.full(others.sum(), leader)), pa.array(found[others])], names=["node", "leader", "similarity"])
+
+
+def _between(similarity: float):
+    """Links between the classes of a piece's two blocks."""
+    far = 1 - similarity + MARGIN
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, ["hash", "i", "j"]):
+            own, i, j = piece.column("own").to_numpy(), piece.column("i")[0].as_py(), piece.column("j")[0].as_py()
+            names, label = np.unique(piece.column("class").to_numpy(), return_inverse=True)
+            if len(names) < 2:
+                continue
+            leader, near = piece.column("leader").to_numpy(), piece.column("similarity").to_numpy()
+            start, size, values, n = _sets(piece)
+            inside, found = np.zeros(n, bool), []
+            second = own == j
+            for c in np.flatnonzero(own == i).tolist():
+                open_ = second & (label != label[c])
+                if i == j:
+                    open_[: c + 1] = False
+                open_ &= np.minimum(size, size[c]) >= (similarity - MARGIN) * np.maximum(size, size[c])
+                open_ &= (leader != leader[c]) | (np.abs(near - near[c]) <= far)
+                others = np.flatnonzero(open_)
+                if not len(others):
+                    continue
+                mine = values[start[c] : start[c] + size[c]]
+                inside[mine] = True
+                close = similarities(values[ranges(start[others], size[others])], size[others], inside, size[c]) >= similarity
+                inside[mine] = False
+                for d in others[close].tolist():
+                    if label[d] != label[c]:
+                        found.append((label[c], label[d]))
+                        label[label == label[d]] = label[c]
+            if found:
+                a, b = (names[list(side)] for side in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return run
+
+
+def roots(parents: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(node, class)``: the root above each node of a forest ``(node, class)``; roots have no row."""
+    up = parents
+    while True:
+        above = up.select(F.col("node").alias("class"), F.col("class").alias("above"))
+        up = scratch.keep(up.join(above, "class", "left").select("node", F.coalesce("above", "class").alias("class"), F.col("above").isNotNull().alias("moved")))
+        if up.filter("moved").isEmpty():
+            return up.select("node", "class")
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(node, class)``: the least node of each connected component, for nodes with a link.
+    """``(node, class)``: one node of each connected component, for all its other nodes.
 
-    At most SMALL links are joined up in one task. Beyond that each round takes
-    the least class among neighbours, then the class of that class; labels live
-    in the shared folder, never on the driver.
+    Each round every node hooks to its least neighbour, if that is less, and what
+    hangs together becomes one node; rounds grow with the logarithm of the size.
     """
-    pairs, count = fitted(links.select("a", "b").distinct(), scratch)
-    if count <= SMALL:
-        return scratch.keep(pairs.mapInArrow(_least_nodes, "node long, class long"))
-    both = scratch.keep(pairs.union(pairs.select("b", "a")).distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("class"))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("class").alias("near"))
-        closer = labels.join(near, "node").select("node", F.col("class").alias("before"), F.least("class", "near").alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("class").alias("jump"))
-        closer, _ = fitted(closer.join(jump, "next", "left").select("node", "before", F.least("next", "jump").alias("class")), scratch)
-        labels = closer.select("node", "class")
-        if closer.filter(F.col("before") != F.col("class")).isEmpty():
-            return labels
-
-
-def _linked(members: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame | None:
-    """``(node, class)`` of all nodes with a link, from the members ``(band, hash, node)`` of all groups."""
-    far, told, labels, leaders_of, rounds = 1 - similarity, None, None, 1, 0
-    place = ["band", "hash"]
-    near = lambda df: df.filter(F.col("similarity") >= similarity)
-    while True:
-        # one leader a group, later one of each of several kinds
-        kinds = F.pmod(F.xxhash64("node"), F.lit(leaders_of))
-        leaders = members.groupBy(*place, kinds.alias("kind")).agg(F.min("node").alias("leader"))
-        led, count = fitted(members.join(leaders, place).filter("node <> leader").select(*place, "leader", "node", F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")), scratch)
-        if not count:
-            break
-        # written out each round: plans stay as small as in the first
-        rows, _ = fitted(led.join(compared(led.select("a", "b").distinct(), texts), ["a", "b"]).select(*place, "leader", "node", "a", "b", "similarity"), scratch)
-        told = rows if told is None else told.union(rows)
-        rounds += 1
-        if rounds == 1:
-            labels = components(near(rows), scratch)
-        # go on with nodes that are far from all leaders, in groups that aren't known to be of one class
-        rest = rows.groupBy(*place, "node").agg(F.max("similarity").alias("best")).filter(F.col("best") < similarity)
-        if leaders_of > 1:  # a sole leader isn't among its group's nodes
-            rest = rest.join(rows.select(*place, F.col("leader").alias("node")).distinct(), [*place, "node"], "left_anti")
-        rest = rest.join(labels, "node", "left").select(*place, "node", F.coalesce("class", "node").alias("class"))
-        mixed = rest.groupBy(*place).agg((F.min("class") != F.max("class")).alias("mixed")).filter("mixed").drop("mixed")
-        members, leaders_of = rest.join(mixed, place).select(*place, "node"), LEADERS
-    if told is None:
-        return None
-    if rounds > 1:
-        labels = components(near(told), scratch)
-    # across splits: apart so far, and not excluded by the distances to the leader
-    label = lambda name: labels.select(F.col("node").alias(name), F.col("class").alias(f"{name}_class"))
-    apart = (
-        told.filter((F.col("similarity") < similarity) & (F.col("similarity") >= 1 - 2 * far - MARGIN))
-        .join(label("node"), "node", "left")
-        .join(label("leader"), "leader")
-        .filter(~F.col("node_class").eqNullSafe(F.col("leader_class")))
-        .select(*place, "leader", F.col("node").alias("c"), F.col("similarity").alias("c_similarity"))
+    edges, labels = scratch.keep(links.select("a", "b").distinct()), None
+    while not edges.isEmpty():
+        both = edges.union(edges.select("b", "a"))
+        hooks = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("class")).filter("class < node")
+        found = roots(hooks, scratch)
+        name = lambda side: found.select(F.col("node").alias(side), F.col("class").alias(f"{side}_class"))  # noqa: B023, E731
+        if labels is not None:
+            labels = labels.join(name("class"), "class", "left").select("node", F.coalesce("class_class", "class").alias("class")).union(found)
+        else:
+            labels = found
+        labels = scratch.keep(labels)
+        left = edges.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_class", "a").alias("a"), F.coalesce("b_class", "b").alias("b"))
+        edges = scratch.keep(left.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("class"))
+
+
+def _linked(members: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """``(node, class)`` of all nodes that are linked to their class, from the members ``(hash, node)`` of all groups."""
+    width = shuffle_width(members.sparkSession)
+    sets = scratch.keep(texts.mapInArrow(_expand, "node long, size long, elements array<bigint>"))
+
+    # 1. one leader a text: the text with most neighbours among the leaders of its groups
+    crowd = members.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    ranked = scratch.keep(members.join(members.join(crowd, "hash").groupBy("node").agg(F.sum("n").alias("score")), "node"))
+    leads = ranked.groupBy("hash").agg(F.max(F.struct("score", "node")).alias("lead"))
+    led = scratch.keep(ranked.join(leads, "hash").groupBy("node").agg(F.max("lead").alias("lead")).select("node", F.col("lead.node").alias("leader")).filter("node <> leader"))
+    # a leader with many texts is sent to several pieces
+    sizes = led.join(sets.select("node", "size"), "node").groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements"))
+    sizes = scratch.keep(sizes.select("leader", _blocks("n", "elements").alias("blocks")))
+    followers = led.join(sizes, "leader").select("leader", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "node")
+    heads = sizes.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("leader").alias("node"))
+    work = followers.union(heads).join(sets, "node").repartition(width, "leader", "block").sortWithinPartitions("leader", "block")
+    told = scratch.keep(work.select("leader", "block", "node", "elements").mapInArrow(_to_leader, "node long, leader long, similarity double"))
+    labels = roots(told.filter(F.col("similarity") >= similarity).select("node", F.col("leader").alias("class")), scratch)
+
+    # 2. groups of several classes, block by block
+    state = (
+        ranked.select("node").distinct().join(told, "node", "left").join(labels, "node", "left").join(sets.select("node", "size"), "node")
+        .select("node", "size", F.coalesce("class", "node").alias("class"), F.coalesce("leader", "node").alias("leader"), F.coalesce("similarity", F.lit(1.0)).alias("similarity"))
+    )
+    placed = scratch.keep(members.join(state, "node"))
+    by_class = placed.groupBy("hash", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements"))
+    major = by_class.groupBy("hash").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"), F.sum("elements").alias("elements"), F.max(F.struct("n", "elements", "class")).alias("most"))
+    major = major.filter("classes > 1").select(
+        "hash",
+        F.col("most.class").alias("most"),
+        _blocks("most.n", "most.elements").alias("most_blocks"),
+        _blocks(F.col("n") - F.col("most.n"), F.col("elements") - F.col("most.elements")).alias("blocks"),
     )
-    beside = near(told).select(*place, "leader", F.col("node").alias("d"), F.col("similarity").alias("d_similarity"))
-    across, count = fitted(
-        apart.join(beside, [*place, "leader"])
-        .filter(F.col("d_similarity") - F.col("c_similarity") <= far + MARGIN)
-        .select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"))
-        .distinct(),
-        scratch,
+    code, is_most = F.xxhash64("node"), F.col("class") == F.col("most")
+    work = (
+        placed.join(major, "hash")
+        .withColumn("own", F.when(is_most, F.col("blocks") + F.pmod(code, "most_blocks")).otherwise(F.pmod(code, "blocks")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(is_most, F.col("blocks")).otherwise(F.col("blocks") + F.col("most_blocks")) - 1)))
+        .select("hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "class", "leader", "similarity")
+        .join(sets.select("node", "elements"), "node")
+        .repartition(width, "hash", "i", "j")
+        .sortWithinPartitions("hash", "i", "j")
     )
-    if not count:
-        return labels
-    found, count = fitted(near(compared(across, texts)).select("a", "b"), scratch)
-    return components(near(told).select("a", "b").union(found), scratch) if count else labels
+    joined = components(work.mapInArrow(_between(similarity), "a long, b long"), scratch).select(F.col("node").alias("class"), F.col("class").alias("joined"))
+    return scratch.keep(placed.select("node", "class").distinct().join(joined, "class", "left").select("node", F.coalesce("joined", "class").alias("class")))
+
+
+def _blocks(texts, elements):
+    """Number of blocks that so many texts and elements are dealt into."""
+    column = lambda c: F.col(c) if isinstance(c, str) else c
+    return F.greatest(F.ceil(column(texts) / BLOCK_TEXTS), F.ceil(column(elements) / BLOCK_ELEMENTS)).cast("long")
+
+
+def _classes(docs: DataFrame, id_column: str, text_column: str, similarity: float, scratch: Scratch) -> DataFrame:
+    """``(id, key, least)``: each row's place, and that of the row that stays of its class."""
+    rows = keyed(docs, id_column, text_column)
+    signed = scratch.keep(rows.mapInArrow(_sign, "id long, key long, digest1 long, digest2 long, bands array<bigint>"))
+    # the least id stays, a row without one only if there is no other
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    distinct = scratch.keep(signed.groupBy("digest1", "digest2").agg(F.min("key").alias("node"), F.min(place).alias("least"), F.first("bands").alias("bands")))
+    banded = distinct.select("node", F.explode("bands").alias("hash"))
+    shared = banded.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    members = scratch.keep(banded.join(shared, "hash"))
+    texts = rows.select(F.col("key").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    labels = _linked(members, texts, similarity, scratch).join(distinct.select("node", "least"), "node")
+    best = labels.join(labels.groupBy("class").agg(F.min("least").alias("best")), "class").select("node", "best")
+    nodes = distinct.select("digest1", "digest2", "node", "least").join(best, "node", "left").select("digest1", "digest2", F.coalesce("best", "least").alias("least"))
+    return signed.select("id", "key", "digest1", "digest2").join(nodes, ["digest1", "digest2"]).select("id", "key", "least")
 
 
 def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per input row: id, ``class_id`` (least id of its class), ``kept`` (it is that id).
+    """One row per input row: id, ``class_id`` (least id of its class), ``kept`` (it is the row that stays).
 
     Texts of one word sequence are in one class; null, empty and blank texts are
-    each alone. Texts of fewer than five words are alike only if equal. Rows that
-    repeat an id must repeat its text and share a class. A null id is told apart
-    by its text, and its class id may then be null. Other columns are ignored.
+    each alone. Texts of fewer than five words are alike only if equal. Of a
+    class the row with the least id stays (rows that repeat id and text: all of
+    them are marked), a row without id only if no row has one; the class id is
+    then null. Texts of any length are compared whole. Rows may repeat an id. An
+    empty table gives no rows, other columns are ignored.
     """
-    rows = keyed(docs, id_column, text_column)
     with Scratch(docs.sparkSession, "near") as scratch:
-        signed = scratch.keep(rows.mapInArrow(_sign, "id long, key long, digest1 long, digest2 long, bands array<bigint>"))
-        distinct = scratch.keep(signed.groupBy("digest1", "digest2").agg(F.min("key").alias("node"), F.first("bands").alias("bands")))
-        banded = distinct.select("node", F.posexplode("bands").alias("band", "hash"))
-        shared = banded.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-        members = scratch.keep(banded.join(shared, ["band", "hash"]))
-        texts = scratch.keep(rows.select(F.col("key").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
-        labels = _linked(members, texts, similarity, scratch)
-        nodes = distinct.select("digest1", "digest2", "node")
-        if labels is not None:
-            nodes = nodes.join(labels, "node", "left").select("digest1", "digest2", F.coalesce("class", "node").alias("class"))
-        else:
-            nodes = nodes.withColumnRenamed("node", "class")
-        placed = cut(signed.select("id", "digest1", "digest2").join(nodes, ["digest1", "digest2"]).select("id", "class"))
-    least = placed.groupBy("class").agg(F.min("id").alias("class_id"))
-    return placed.join(least, "class").select(F.col("id").alias(id_column), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+        found = _classes(docs, id_column, text_column, similarity, scratch)
+        out = found.select(F.col("id").alias(id_column), F.col("least.id").alias("class_id"), (F.col("key") == F.col("least.key")).alias("kept"))
+        return scratch.last(out)
 
 
-def drop_near(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the least id of their class; all columns stay."""
-    kept = near_classes(docs, id_column, text_column).filter("kept").select(F.col(id_column).alias("__kept")).distinct()
-    return docs.join(kept, docs[id_column].eqNullSafe(kept["__kept"]), "left_semi")
+def drop_near(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row of ``docs`` for each class, with all its columns: that of the least id; of repeated rows one."""
+    key, again = unused(docs, "row_key"), unused(docs, "again")
+    with Scratch(docs.sparkSession, "near") as scratch:
+        kept = scratch.last(_classes(docs, id_column, text_column, similarity, scratch).filter("key = least.key").select(F.col("key").alias(key)).distinct())
+    rows = docs.withColumn(key, row_key(id_column, text_column)).join(kept, key)
+    return rows.withColumn(again, F.row_number().over(Window.partitionBy(key).orderBy(key))).filter(F.col(again) == 1).select(*columns(docs))

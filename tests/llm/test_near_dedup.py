@@ -81,23 +81,64 @@ def test_documents(spark, sf):
     assert {r.doc_id: r.class_id for r in nd.near_classes(docs).collect()} == brute(rows)
 
 
-def test_components_in_one_task_and_in_rounds(spark, monkeypatch):
-    links = spark.createDataFrame([(1, 2), (3, 4), (2, 3), (10, 9), (9, 8), (8, 7), (20, 30), (20, 30)], "a long, b long")
-    want = {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 8: 7, 9: 7, 10: 7, 20: 20, 30: 20}
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(100, 130)]
+    links = spark.createDataFrame([(1, 2), (3, 4), (2, 3), (9, 10), (8, 9), (7, 8), (20, 30), (20, 30), *[(500, i) for i in range(501, 520)], *[(i, 999) for i in range(900, 920)], *chain], "a long, b long")
     with Scratch(spark, "test") as scratch:
-        assert dict(map(tuple, nd.components(links, scratch).collect())) == want
-        monkeypatch.setattr(nd, "SMALL", 1)
-        assert dict(map(tuple, nd.components(links, scratch).collect())) == want
-        monkeypatch.undo()
+        found = dict(map(tuple, nd.components(links, scratch).collect()))
         assert nd.components(links.limit(0), scratch).count() == 0
+    groups = [{1, 2, 3, 4}, {7, 8, 9, 10}, {20, 30}, {*range(500, 520)}, {*range(900, 920), 999}, {*range(100, 131)}]
+    for group in groups:
+        assert len({found.get(n, n) for n in group}) == 1
+    assert len({found.get(n, n) for g in groups for n in g}) == len(groups) and len(found) == sum(len(g) - 1 for g in groups)
     assert not glob.glob(f"{scratch.folder}*")
 
 
-def test_ties_across_a_leader_are_compared(spark):
-    # of ten windows, the leader and another text lack a different fifth each: 0.8 to the third text, 0.6 to one another
-    words = [f"w{i}" for i in range(14)]
-    members = spark.createDataFrame([(0, 1, node) for node in (1, 2, 3)], "band int, hash long, node long")
-    texts = spark.createDataFrame([(1, " ".join(words[:12])), (2, " ".join(words[2:])), (3, " ".join(words))], "node long, text string")
+def linked(spark, members, texts):
+    members = spark.createDataFrame(members, "hash long, node long")
+    texts = spark.createDataFrame(texts, "node long, text string")
     with Scratch(spark, "test") as scratch:
-        labels = {r.node: r["class"] for r in nd._linked(members, texts, 0.8, scratch).collect()}
-    assert labels == {1: 1, 2: 1, 3: 1}
+        return {r.node: r["class"] for r in nd._linked(members, texts, 0.8, scratch).collect()}
+
+
+def test_ties_are_compared(spark):
+    # of ten windows, two texts lack a different fifth each: 0.8 to the third text, 0.6 to one another
+    words = [f"w{i}" for i in range(14)]
+    for order in ((1, 2, 3), (3, 2, 1), (2, 3, 1)):
+        texts = [" ".join(words[:12]), " ".join(words[2:]), " ".join(words)]
+        assert len(set(linked(spark, [(1, n) for n in order], list(zip(order, texts))).values())) == 1
+
+
+def test_one_group_over_many_blocks(spark, monkeypatch):
+    # a soft cloud of copies in one group, whose links don't all go through one leader
+    monkeypatch.setattr(nd, "BLOCK_TEXTS", 7)
+    rng = random.Random(4)
+    base, rows = [f"w{i}" for i in range(90)], []
+    for n in range(120):
+        text = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 6])):
+            text[rng.randrange(90)] = f"x{rng.randrange(40)}"
+        rows.append((n, " ".join(text)))
+    rows = [(n, t) for n, t in rows if t not in {u for m, u in rows if m < n}]
+    got = linked(spark, [(5, n) for n, _ in rows], rows)
+    want = brute(rows)
+    assert len(set(want.values())) > 5
+    assert {n: min(m for m in got if got[m] == got[n]) for n in got} == want
+
+
+def test_null_and_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text + " end"
+    rows = [(None, text, 1), (None, text, 2), (5, near, 3), (5, near, 4), (5, "something else", 5), (None, "alone", 6), (None, "alone", 7), (9, None, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_key int")
+    got = sorted(((r.doc_id, r.class_id, r.kept) for r in nd.near_classes(docs).collect()), key=str)
+    assert got == sorted([(None, 5, False)] * 2 + [(5, 5, True)] * 3 + [(None, None, True)] * 2 + [(9, 9, True)], key=str)
+    assert sorted(((r.doc_id, r.text) for r in nd.drop_near(docs).collect()), key=str) == sorted([(5, near), (5, "something else"), (None, "alone"), (9, None)], key=str)
+    assert nd.drop_near(docs.limit(0)).count() == 0 and nd.drop_near(docs).columns == docs.columns
+
+
+def test_a_text_of_many_blocks(spark):
+    rng = random.Random(5)
+    long = " ".join(rng.choices([f"word{i}" for i in range(3000)], k=500_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " end"), (3, long[: len(long) // 2])], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in nd.near_classes(docs).collect()} == {1: 1, 2: 1, 3: 3}
