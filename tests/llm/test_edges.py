@@ -97,3 +97,14 @@ def test_license(spark):
 def test_digest(docs):
     row = next(r for r in exact_dedup.exact_groups(docs).collect() if r.doc_id == 3)
     assert row.text_sha256 == hashlib.sha256(b" a b ").hexdigest()
+
+
+def test_lines_of_repeated_and_missing_ids(spark):
+    a, b = "a" * 41, "B" * 42
+    rows = [(7, f"{a}\n1"), (7, f"{a}\n2"), (7, f"{a}\n2"), *[(i, f" {a.upper()}\t\n{i}") for i in range(4)], *[(None, f"{b}\n{i}") for i in range(5)], (None, f"{b}\n0"), (8, "z" * 5000), (9, "\n" * 300_000 + a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.dedup_lines(docs).collect()), key=str)
+    free = [g for g in got if g[0] is None]
+    assert [g for g in got if g[0] is not None] == sorted([(9, 300_001, 0, rows[-1][1]), (8, 1, 0, rows[-2][1]), *[(7, 2, 1, t) for t in "122"], *[(i, 2, 1, str(i)) for i in range(4)]], key=str)
+    # of texts without an id one keeps the line, and its repetition with it
+    assert len(free) == 6 and len({g[3].split("\n")[-1] for g in free if g[2] == 0}) == 1
