@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, filled
+from .common import SPACE, columns, filled, row_key, unused
 
 SALTS = 16
 
@@ -27,14 +27,22 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """One row per input row: id, ``keep_id, group_size, kept, text_sha256``.
 
     Null and empty texts are equal. The smallest id of a group stays; a null id
-    stays only if all ids of its group are null. Rows that repeat an id with
-    equal texts count in ``group_size`` and are marked alike. Columns other than
-    the two named are ignored. Two contents of one SHA-256 would raise an error.
+    stays only if all ids of its group are null. Rows that repeat the kept id
+    count in ``group_size`` and are marked alike (``drop_copies`` keeps one).
+    Texts of any length are compared whole, an empty table gives no rows, and
+    columns other than the two named are ignored. Two contents of one SHA-256
+    would raise an error.
     """
+    return _groups(docs, id_column, text_column, salts).drop("__key")
+
+
+def _groups(docs: DataFrame, id_column: str, text_column: str, salts: int) -> DataFrame:
     ident = F.col(id_column)
     content = F.regexp_replace(filled(text_column), f"[{SPACE}]+", " ")
+    # rows without an id are dealt by their own key
+    salt = F.pmod(F.xxhash64(ident, F.when(ident.isNull(), row_key(id_column, text_column))), F.lit(salts))
     rows = docs.select(
-        ident.alias("__id"), F.pmod(F.xxhash64(ident), F.lit(salts)).alias("__salt"), content.alias("__content")
+        ident.alias("__id"), row_key(id_column, text_column).alias("__key"), salt.alias("__salt"), content.alias("__content")
     ).withColumn("__digest", F.sha2("__content", 256))
 
     salted = rows.groupBy("__digest", "__salt", "__content").agg(F.min("__id").alias("__least"), F.count(F.lit(1)).alias("__n"))
@@ -60,14 +68,18 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             "group_size",
             F.col("__id").eqNullSafe(F.col("keep_id")).alias("kept"),
             F.col("__digest").alias("text_sha256"),
+            "__key",
         )
     )
 
 
-def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text has no equal with a smaller id; all columns stay."""
-    kept = exact_groups(docs, id_column, text_column).filter("kept").select(F.col(id_column).alias("__kept")).distinct()
-    return docs.join(kept, docs[id_column].eqNullSafe(kept["__kept"]), "left_semi")
+def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", salts: int = SALTS) -> DataFrame:
+    """One row of ``docs`` for each text, with all its columns: that of the smallest id; of repeated rows one."""
+    key, again = unused(docs, "row_key"), unused(docs, "again")
+    # rows of one id may differ in white space: the least key decides
+    kept = _groups(docs, id_column, text_column, salts).filter("kept").groupBy("text_sha256").agg(F.min("__key").alias(key)).select(key)
+    rows = docs.withColumn(key, row_key(id_column, text_column)).join(kept, key)
+    return rows.withColumn(again, F.row_number().over(Window.partitionBy(key).orderBy(key))).filter(F.col(again) == 1).select(*columns(docs))
 
 
 ORACLE = """

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, columns, cut, row_key, unused
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -68,8 +68,15 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     in an order among themselves that doesn't change the rows returned. An empty
     table gives no rows; other columns are ignored.
     """
-    code = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_column).cast("string")))
-    sized = cut(docs.select(F.col(id_column).alias("__id"), F.col(source_column).alias("source"), word_count(text_column).alias("size"), code.alias("__code")))
+    return _plan(docs, id_column, text_column, source_column, weights, share, max_epochs, seed).drop("__key")
+
+
+def _plan(docs: DataFrame, id_column: str, text_column: str, source_column: str, weights, share, max_epochs, seed: int) -> DataFrame:
+    """The mix, with a key of each row's id, text and source."""
+    key = F.xxhash64(row_key(id_column, text_column), F.col(source_column))
+    # rows without an id are dealt by their key
+    code = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.concat(F.lit("-:"), key.cast("string")))))
+    sized = cut(docs.select(F.col(id_column).alias("__id"), F.col(source_column).alias("source"), word_count(text_column).alias("size"), code.alias("__code"), key.alias("__key")))
     sized = sized.withColumn("__bucket", F.substring("__code", 1, BUCKET_DIGITS))
 
     buckets = sized.groupBy("source", "__bucket").agg(F.sum("size").alias("bucket_size"))
@@ -83,7 +90,7 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     # null sources join too: both sides carry the name or a stand-in with a flag
     joinable = lambda df: df.select("*", F.col("source").isNull().alias("__none"), F.coalesce("source", F.lit("")).alias("__source")).drop("source")
     plan = joinable(plan).join(joinable(goals), ["__none", "__source"])
-    inside = Window.partitionBy("__none", "__source", "__bucket").orderBy("__code", "__id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("__none", "__source", "__bucket").orderBy("__code", "__id", "size", "__key").rowsBetween(Window.unboundedPreceding, 0)
     return (
         joinable(sized)
         .join(plan, ["__none", "__source", "__bucket"])
@@ -97,15 +104,24 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
             "target",
             (F.col("size") * (F.col("whole") + F.col("extra"))).alias("taken"),
             (F.col("whole") + F.col("extra")).alias("repeats"),
+            "__key",
         )
     )
 
 
-def mixed(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """The documents of the mix: each row as often as it is taken, all columns kept."""
-    plan = mix(docs, id_column, **options).groupBy(F.col(id_column).alias("__taken")).agg(F.max("repeats").alias("__repeats")).filter("__repeats > 0")
-    rows = docs.join(plan, docs[id_column].eqNullSafe(plan["__taken"]))
-    return rows.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__repeats")))).select(*[docs[c] for c in docs.columns])
+def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """The documents of the mix: each row as often as it is taken, all columns kept.
+
+    Rows that repeat id, text and source share what is taken of them all.
+    """
+    key, taken, rows, again = (unused(docs, name) for name in ("row_key", "taken", "rows", "again"))
+    plan = _plan(docs, id_column, text_column, source_column, weights, share, max_epochs, seed)
+    plan = plan.groupBy(F.col("__key").alias(key)).agg(F.sum("repeats").alias(taken), F.count(F.lit(1)).alias(rows)).filter(F.col(taken) > 0)
+    found = docs.withColumn(key, F.xxhash64(row_key(id_column, text_column), F.col(source_column))).join(plan, key)
+    # the first of equal rows take what is left over
+    place = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    found = found.withColumn(again, place).withColumn(again, F.floor(F.col(taken) / F.col(rows)) + (F.col(again) <= F.pmod(taken, rows)).cast("long"))
+    return found.filter(F.col(again) > 0).withColumn(again, F.explode(F.sequence(F.lit(1).cast("long"), F.col(again)))).select(*columns(docs))
 
 
 ORACLE = """

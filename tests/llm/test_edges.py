@@ -108,3 +108,23 @@ def test_lines_of_repeated_and_missing_ids(spark):
     assert [g for g in got if g[0] is not None] == sorted([(9, 300_001, 0, rows[-1][1]), (8, 1, 0, rows[-2][1]), *[(7, 2, 1, t) for t in "122"], *[(i, 2, 1, str(i)) for i in range(4)]], key=str)
     # of texts without an id one keeps the line, and its repetition with it
     assert len(free) == 6 and len({g[3].split("\n")[-1] for g in free if g[2] == 0}) == 1
+
+
+def test_copies_of_repeated_and_missing_ids(spark):
+    rows = [(1, "x y", 1), (1, "x y", 2), (2, "x  y", 3), (None, "q", 4), (None, "q", 5), (None, " q", 6), (5, "z", 7), (5, "other", 8), (None, None, 9), (None, "", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_key int")
+    kept = [(r.doc_id, r.text) for r in exact_dedup.drop_copies(docs).collect()]
+    assert sorted((t or "").strip() if i is None else t for i, t in kept) == sorted(["x y", "q", " q".strip(), "z", "other", ""]) and (1, "x y") in kept
+    assert exact_dedup.drop_copies(docs.limit(0)).count() == 0
+    big = spark.createDataFrame([(1, "ab " * 1_500_000), (2, "ab\n" * 1_500_000), (3, "ab " * 1_499_999)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in exact_dedup.drop_copies(big).collect()) == [1, 3]
+
+
+def test_mix_of_repeated_and_missing_ids(spark):
+    rows = [(None, f"a b c d e f g h i {i}", "s") for i in range(20)] + [(i % 3, "a b c d e f g h i j", "s") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sum(len(r.text.split()) for r in mixing.mixed(docs).collect()) == sum(r.taken for r in mixing.mix(docs).collect()) == 600
+    assert sorted(map(tuple, mixing.mix(docs).collect()), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()), key=str)
+    long = spark.createDataFrame([(1, "w " * 2_000_000, None), (2, None, None), (3, "", "s")], "doc_id long, text string, source string")
+    assert {r.doc_id: r.size for r in mixing.mix(long).collect()} == {1: 2_000_000, 2: 0, 3: 0}
+    assert mixing.mixed(docs.limit(0)).count() == 0
