@@ -1,11 +1,12 @@
 """Quality rules: fixed base rules and a calibrated classifier on hashed n-grams.
 
-The classifier is a logistic regression on hashed words and hashed byte
-4-grams (which hold the character n-grams), each as shares of the text. It is
-trained on a bounded sample of labelled rows, whose sparse features come to the
-driver, and calibrated by Platt scaling on a part that training hasn't seen.
-Documents are scored whole, in Arrow batches; a score is two weight sums read
-off prefix sums, so the model (fixed size) is all that is broadcast.
+The classifier is a logistic regression on hashed word n-grams (one and two
+words) and hashed character n-grams (three to five code points), each as shares
+of the text. It is trained on a bounded sample of labelled rows, whose sparse
+features come to the driver, and calibrated by Platt scaling on a part that
+training hasn't seen. Documents are scored whole, in Arrow batches; a score is a
+few weight sums read off prefix sums, so the model (fixed size) is all that is
+broadcast.
 """
 
 from __future__ import annotations
@@ -18,13 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, row_key
 from .textblocks import FAMILIES, U, Block, blocks, cover, mix, windows
 
-WORD_BITS = 17
-GRAM_BITS = 17
-GRAM = 4
+WORD_GRAMS = (1, 2)
+CHARACTER_GRAMS = (3, 4, 5)
+#: Bits of a hashed feature; word and character n-grams have a half of the weights each.
+BITS = 18
 #: Labelled rows used at most: those whose hashed ids are least.
 SAMPLE = 2000
+#: Features of those rows held at most (8 bytes each): further rows are left out of the sample.
+SAMPLE_FEATURES = 1 << 24
 #: Rejected below this calibrated probability of good quality.
 KEEP_AT = 0.5
 SCALE = 30.0
@@ -37,16 +42,16 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 @dataclass
 class Classifier:
-    words: np.ndarray
-    grams: np.ndarray
+    weights: np.ndarray
     bias: float
     slope: float = 1.0
     shift: float = 0.0
 
     def probability(self, block: Block) -> np.ndarray:
         """Calibrated probability of good quality of each document."""
-        word, gram = features(block)
-        raw = self.bias + SCALE * (_means(self.words[word], block.word_off) + _gram_means(self.grams[gram], block))
+        raw = np.full(block.n, self.bias)
+        for hashed, bounds in features(block):
+            raw += SCALE * _means(self.weights[hashed], bounds)
         return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.shift, -30, 30)))
 
 
@@ -56,24 +61,42 @@ def _sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off]
 
 
-def _means(values: np.ndarray, off: np.ndarray) -> np.ndarray:
-    return np.diff(_sums(values, off)) / np.maximum(np.diff(off), 1)
+def _means(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    return np.diff(_sums(values, bounds), axis=1)[:, 0] / np.maximum(bounds[:, 1] - bounds[:, 0], 1)
 
 
-def _gram_means(values: np.ndarray, block: Block) -> np.ndarray:
-    total = _sums(values, np.arange(len(values) + 1))
-    start, end = block.off[:-1], np.maximum(block.off[1:] - GRAM + 1, block.off[:-1])
-    return (total[np.minimum(end, len(values))] - total[np.minimum(start, len(values))]) / np.maximum(end - start, 1)
+def features(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each size of n-gram: hashed features at each place, and each document's first place and end."""
+    half = 1 << (BITS - 1)
+    for n in WORD_GRAMS:
+        hashed = block.word_hash()
+        if n > 1:
+            hashed = np.concatenate([mix(sum(_turned(hashed[i : len(hashed) - n + 1 + i], i) for i in range(n)), 20 + n), np.zeros(min(n - 1, len(hashed)), U)])
+        yield (hashed >> U(64 - BITS + 1)).astype(np.int64), _places(block.word_off, n)
+    points = np.frombuffer(block.data.tobytes().decode().encode("utf-32-le"), "<u4").astype(U)
+    off = np.append(0, np.cumsum((block.data & 0xC0) != 0x80))[block.off]
+    for n in CHARACTER_GRAMS:
+        size = max(len(points) - n + 1, 0)
+        hashed = np.zeros(len(points), U)
+        for i in range(n):
+            hashed[:size] += _turned(points[i : i + size], i)
+        yield half + (_scattered(hashed) >> U(64 - BITS + 1)).astype(np.int64), _places(off, n)
 
 
-def features(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words, and hashed byte n-grams at each place of the block."""
-    words = (block.word_hash() >> U(64 - WORD_BITS)).astype(np.int64)
-    n = max(len(block.data) - GRAM + 1, 0)
-    grams = np.zeros(n, np.uint32)
-    for i in range(GRAM):
-        grams |= block.data[i : i + n].astype(np.uint32) << np.uint32(8 * i)
-    return words, ((grams * np.uint32(0x9E3779B1)) >> np.uint32(32 - GRAM_BITS)).astype(np.int64)
+def _turned(values: np.ndarray, place: int) -> np.ndarray:
+    """Values times an odd constant of the place."""
+    return values * U((0x9E3779B97F4A7C15 * (2 * place + 1) ** 5) & (2**64 - 1) | 1)
+
+
+def _scattered(values: np.ndarray) -> np.ndarray:
+    """High bits that depend on all bits."""
+    values ^= values >> U(29)
+    values *= U(0xBF58476D1CE4E5B9)
+    return values
+
+
+def _places(off: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([off[:-1], np.maximum(off[1:] - n + 1, off[:-1])], 1)
 
 
 def base_counts(block: Block) -> dict[str, np.ndarray]:
@@ -120,29 +143,34 @@ def judged(block: Block, model: Classifier | None) -> dict[str, np.ndarray]:
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in blocks(batch.column("text")):
-            word, gram = features(block)
-            rows = []
+            found, rows = list(features(block)), []
             for i in range(block.n):
-                a, b = np.unique(word[block.word_off[i] : block.word_off[i + 1]], return_counts=True)
-                c, d = np.unique(gram[block.off[i] : max(block.off[i + 1] - GRAM + 1, block.off[i])], return_counts=True)
-                rows.append((np.concatenate([a, c + 2**WORD_BITS]).astype("<u4").tobytes(), np.concatenate([b / max(b.sum(), 1), d / max(d.sum(), 1)]).astype("<f4").tobytes()))
+                own = []
+                for hashed, bounds in found:
+                    at, count = np.unique(hashed[bounds[i, 0] : bounds[i, 1]], return_counts=True)
+                    own.append((at, count / max(count.sum(), 1)))
+                # a feature of two sizes of n-grams has the sum of its shares
+                at, place = np.unique(np.concatenate([a for a, _ in own]), return_inverse=True)
+                rows.append((at.astype("<u4").tobytes(), np.bincount(place, np.concatenate([c for _, c in own]), len(at)).astype("<f4").tobytes(), len(at)))
+            at, share, size = zip(*rows)
             part = batch.slice(block.lo, block.n)
             yield pa.RecordBatch.from_arrays(
-                [part.column("good"), part.column("fold"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["good", "fold", "at", "share"]
+                [part.column("good"), part.column("order"), part.column("id"), pa.array(size, pa.int64()), pa.array(at, pa.binary()), pa.array(share, pa.binary())],
+                names=["good", "order", "id", "size", "at", "share"],
             )
 
 
 def fit(rows: list, rounds: int = 60, rate: float = 0.05, decay: float = 1e-3) -> Classifier | None:
     """Logistic regression by Adam on sparse rows; None without both labels."""
     good = np.array([r["good"] for r in rows], float)
-    held = np.array([r["fold"] == 0 for r in rows])
+    held = np.array([r["order"] % 4 == 0 for r in rows])
     if not len(rows) or not 0 < good[~held].sum() < (~held).sum():
         return None
     at = [np.frombuffer(r["at"], "<u4") for r in rows]
     share = [np.frombuffer(r["share"], "<f4") for r in rows]
     row = np.repeat(np.arange(len(rows)), [len(a) for a in at])
     at, share = np.concatenate(at).astype(np.int64), np.concatenate(share) * SCALE
-    size = 2**WORD_BITS + 2**GRAM_BITS
+    size = 1 << BITS
     # both labels weigh alike in training; calibration brings the true shares back
     importance = np.where(good > 0, 0.5 / good[~held].sum(), 0.5 / (~held & (good == 0)).sum()) * ~held
     w, bias, m, v, mb, vb = np.zeros(size), 0.0, np.zeros(size), np.zeros(size), 0.0, 0.0
@@ -155,7 +183,7 @@ def fit(rows: list, rounds: int = 60, rate: float = 0.05, decay: float = 1e-3) -
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         bias -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
     raw = np.bincount(row, w[at] * share, len(rows)) + bias
-    model = Classifier(w[: 2**WORD_BITS], w[2**WORD_BITS :], float(bias))
+    model = Classifier(w, float(bias))
     if 0 < good[held].sum() < held.sum():
         model.slope, model.shift = platt(raw[held], good[held])
     return model
@@ -175,27 +203,37 @@ def platt(raw: np.ndarray, good: np.ndarray, rounds: int = 50) -> tuple[float, f
     return float(beta[0]), float(beta[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", sample: int = SAMPLE) -> Classifier | None:
-    """Train on at most ``sample`` labelled rows; every fourth calibrates.
+def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", sample: int = SAMPLE, most: int = SAMPLE_FEATURES) -> Classifier | None:
+    """Train on at most ``sample`` labelled rows that hold at most ``most`` features; every fourth calibrates.
 
-    Rows without label or text are left out, repeated labels count once. None
-    if either label is missing; then only the base rules judge.
+    Rows without label or text are left out, repeated labels count once, and of
+    rows that repeat an id one is taken. Texts are taken whole: those by which
+    the features would exceed ``most`` are left out. None if either label is
+    missing; then only the base rules judge.
     """
     ident = F.col(id_column).cast("long")
     some = (
         labels.filter(F.col(label_column).isNotNull() & F.col(id_column).isNotNull())
-        .groupBy(ident.alias("__id"))
+        .groupBy(ident.alias("id"))
         .agg(F.max(F.col(label_column).cast("int")).alias("good"))
-        .withColumn("order", F.xxhash64("__id", F.lit(7)))
-        .orderBy("order", "__id")
+        .withColumn("order", F.xxhash64("id", F.lit(7)))
+        .orderBy("order", "id")
         .limit(sample)
-        .withColumn("fold", F.pmod("order", F.lit(4)).cast("int"))
     )
     # the broadcast side has ``sample`` narrow rows at most
-    rows = docs.filter(F.col(text_column).isNotNull()).select(ident.alias("__id"), F.col(text_column).cast("string").alias("text")).join(F.broadcast(some), "__id")
-    found = rows.select("good", "fold", "__id", "text").mapInArrow(_sparse, "good int, fold int, at binary, share binary").collect()
-    # rows arrive in any order: sort, so that sums and so the model agree between runs
-    return fit(sorted(found[: 4 * sample], key=lambda r: (bytes(r["at"]), bytes(r["share"]), r["good"])))
+    rows = docs.filter(F.col(text_column).isNotNull()).select(ident.alias("id"), F.col(text_column).cast("string").alias("text"), row_key(id_column, text_column).alias("key")).join(F.broadcast(some), "id")
+    one = rows.groupBy("id", "good", "order").agg(F.min_by("text", "key").alias("text"))
+    with Scratch(docs.sparkSession, "train") as scratch:
+        sparse = scratch.keep(one.select("good", "order", "id", "text").mapInArrow(_sparse, "good int, order long, id long, size long, at binary, share binary"))
+        # at most ``sample`` rows here, and ``most`` features in those collected
+        held, chosen = 0, []
+        for r in sorted(sparse.select("order", "id", "size").collect()):
+            if held + r["size"] <= most:
+                held += r["size"]
+                chosen.append(r["id"])
+        found = sparse.filter(F.col("id").isin(chosen)).collect() if chosen else []
+    # in an order of their own, so that sums and so the model agree between runs
+    return fit(sorted(found, key=lambda r: (r["order"], r["id"])))
 
 
 # applying
@@ -204,8 +242,9 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 def judge(docs: DataFrame, model: Classifier | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per input row: id, base counts, ``base_failed, kept, probability``.
 
-    Null and empty texts have no words and fail. Repeated rows are judged alike,
-    other columns are ignored.
+    Null and empty texts have no words and fail. Repeated rows, and rows without
+    an id, are judged like any other; texts of any length are scored whole. An
+    empty table gives no rows, other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [*BASE, "base_failed", "kept", "probability"]

@@ -128,3 +128,53 @@ def test_mix_of_repeated_and_missing_ids(spark):
     long = spark.createDataFrame([(1, "w " * 2_000_000, None), (2, None, None), (3, "", "s")], "doc_id long, text string, source string")
     assert {r.doc_id: r.size for r in mixing.mix(long).collect()} == {1: 2_000_000, 2: 0, 3: 0}
     assert mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_base_counts_equal_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    space = " \t\n\x0b\x0c\r"
+
+    def counts(text):
+        words = [w for w in re.split(f"[{space}]+", text or "") if w]
+        lines = [line for line in (text or "").split("\n") if line.strip(space)]
+        grams = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+        seen = {}
+        for i, g in enumerate(grams):
+            seen.setdefault(g, []).append(i)
+        repeated = {j for at in seen.values() if len(at) > 1 for i in at for j in range(i, i + 8)}
+        n = len(words)
+        return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(repeated), n < 20 or 100 * len(repeated) > 30 * n
+
+    want = {r.doc_id: counts(r.text) for r in docs.collect()}
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality.judge(docs, None).collect()}
+    assert got == want and any(w[3] for w in want.values()) and any(w[4] for w in want.values())
+
+
+def test_scores_do_not_depend_on_neighbours(sf):
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    texts = [None, "", "é", "ab cd", *pq.read_table(f"{sf}/documents.parquet").column("text").to_pylist()[:60], "x", "漢字 仮名 " * 9]
+    model = quality.Classifier(np.random.default_rng(1).normal(size=1 << quality.BITS), 0.1)
+    together = model.probability(next(blocks(pa.array(texts), 1 << 30)))
+    alone = [model.probability(next(blocks(pa.array([t], pa.string()))))[0] for t in texts]
+    assert np.allclose(together, alone)
+    # as many n-grams as words and code points give, each looked up by its content
+    block = next(blocks(pa.array(["one two one two", "漢字漢字漢"])))
+    sizes = [(b[:, 1] - b[:, 0]).tolist() for _, b in quality.features(block)]
+    assert sizes == [[4, 1], [3, 0], [13, 3], [12, 2], [11, 1]]
+    (words, _), (pairs, _), (threes, at), *_ = quality.features(block)
+    assert words[0] == words[2] != words[1] and pairs[0] == pairs[2] != pairs[1]
+    assert threes[at[1, 0]] == threes[at[1, 0] + 2] != threes[at[1, 0] + 1]
+
+
+def test_training_sample_is_bounded(spark):
+    rows = [(i, "good words here " * 5 + str(i) if i % 2 else "$$$ bad *** " * 5 + str(i)) for i in range(40)] + [(3, "repeated id")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 1), (None, 1), (5, None)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    assert (model.weights == quality.train(docs.repartition(5), labels.repartition(3)).weights).all()
+    assert (model.weights != quality.train(docs, labels, most=2000).weights).any()
+    assert quality.train(docs, labels, most=10) is None
+    assert quality.judge(docs.limit(0), model).count() == 0 and quality.judge(spark.createDataFrame([(None, "ü " * 700_000)], "doc_id long, text string"), model).first().n_words == 700_000
