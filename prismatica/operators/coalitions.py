@@ -15,11 +15,14 @@ from math import comb, factorial
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .models import ColumnModel, Model
+from .models import ColumnModel, Model, PandasModel
 
 MAX_BACKGROUND = 1000
 MAX_EXACT = 12
+#: Rows that a vectorised model scores at once.
+HYBRID_ROWS = 1 << 16
 
 
 @dataclass
@@ -39,7 +42,7 @@ class ShapFrame:
 
     def _need(self) -> None:
         if not self.interactions:
-            raise RuntimeError("SHAP interaction values have not been calculated")
+            raise RuntimeError("no interactions here: explain with interactions=True")
 
     def interaction_values(self) -> DataFrame:
         """``(id, output, feature_i, feature_j, phi)`` for all ordered pairs."""
@@ -145,31 +148,86 @@ def permutation_coefficients(m: int, n_permutations: int = 10, seed: int = 0) ->
     return list(found), out
 
 
+#: The column of a background that weighs its rows, if it has one.
+WEIGHT = "background_weight"
+
+
+def background_rows(background: DataFrame, features: list[str]) -> tuple[list[tuple], list[float], T.StructType]:
+    """The background's rows and weights on the driver: 1 to MAX_BACKGROUND rows, which is checked first."""
+    weight = F.col(WEIGHT).cast("double") if WEIGHT in background.columns else F.lit(1.0)
+    some = background.select(*features, weight.alias("__weight")).limit(MAX_BACKGROUND + 1)
+    rows = some.collect()
+    if not 0 < len(rows) <= MAX_BACKGROUND:
+        raise ValueError(f"a background has 1 to {MAX_BACKGROUND} rows; compact or sample it first")
+    rows = sorted(map(tuple, rows), key=repr)
+    return [r[:-1] for r in rows], [r[-1] for r in rows], T.StructType(some.schema.fields[:-1])
+
+
 def coalition_values(observations: DataFrame, id_name: str, weight: Column, background: DataFrame, model: Model, masks: list[int]) -> DataFrame:
     """id, ``weight`` and ``v_<output>_<coalition>`` for each output and coalition (numbered in order).
 
-    Ids must be unique. The background has MAX_BACKGROUND rows at most, which is
-    checked, and is broadcast; coalition means are complete before the shuffle.
+    The background is a constant of the plan, so each row's values are computed
+    where the row lies: without a join or a shuffle, and whatever its id.
     """
     features = model.feature_names
-    size = background.limit(MAX_BACKGROUND + 1).count()
-    if not 0 < size <= MAX_BACKGROUND:
-        raise ValueError(f"the background must have 1 to {MAX_BACKGROUND} rows; compact or sample it first")
-    back = background.select(*[F.col(f).alias(f"__b_{f}") for f in features])
-    rows = observations.select(F.col(id_name), weight.alias("__w"), *[F.col(f).alias(f"__x_{f}") for f in features]).join(F.broadcast(back))
-    outputs = range(len(model.output_names))
+    rows, weights, schema = background_rows(background, features)
+    shares = [w / sum(weights) for w in weights]
+    names = [f"v_{o}_{k}" for k in range(len(masks)) for o in range(len(model.output_names))]
     if isinstance(model, ColumnModel):
-        aggregates = []
-        for k, mask in enumerate(masks):
-            chosen = {f: F.col(f"__x_{f}" if mask >> i & 1 else f"__b_{f}") for i, f in enumerate(features)}
-            aggregates += [F.avg(c).alias(f"v_{o}_{k}") for o, c in zip(outputs, model.columns(chosen))]
-    else:
-        hybrids = F.explode(
-            F.array(*[F.struct(F.lit(k).alias("__k"), *[F.col(f"__x_{f}" if mask >> i & 1 else f"__b_{f}").alias(f) for i, f in enumerate(features)]) for k, mask in enumerate(masks)])
-        )
-        rows = model.predict(rows.select(id_name, "__w", hybrids.alias("h")).select(id_name, "__w", "h.*"), [f"__y_{o}" for o in outputs])
-        aggregates = [F.avg(F.when(F.col("__k") == k, F.col(f"__y_{o}"))).alias(f"v_{o}_{k}") for k in range(len(masks)) for o in outputs]
-    return rows.groupBy(id_name).agg(F.first("__w").alias("weight"), *aggregates)
+        # one array of structs for all rows of the background, folded once
+        cells = [F.struct(*[_literal(v, f.dataType).alias(f"f{i}") for i, (v, f) in enumerate(zip(r, schema.fields))], F.lit(s).alias("share")) for r, s in zip(rows, shares)]
+        back = F.array(*cells)
+        own = [F.col(f"`{f}`") for f in features]
+
+        def means(mask: int) -> list[Column]:
+            chosen = lambda b: {f: own[i] if mask >> i & 1 else b[f"f{i}"] for i, f in enumerate(features)}
+            if mask == (1 << len(features)) - 1:
+                return model.columns(chosen(None))
+            return [F.aggregate(back, F.lit(0.0), lambda total, b: total + b["share"] * model.columns(chosen(b))[o]) for o in range(len(model.output_names))]  # noqa: B023
+
+        values = [c for mask in masks for c in means(mask)]
+        return observations.select(F.col(id_name), weight.alias("weight"), *[c.alias(n) for c, n in zip(values, names)])
+    if isinstance(model, PandasModel):
+        return _pandas_values(observations, id_name, weight, rows, shares, model, masks, names)
+    # models that only transform frames: one row for each coalition and background row, counted per partition before the shuffle
+    spark = observations.sparkSession
+    back = spark.createDataFrame([(*r, s) for r, s in zip(rows, shares)], T.StructType([*[T.StructField(f"__b_{f.name}", f.dataType) for f in schema.fields], T.StructField("__share", T.DoubleType())]))
+    pairs = observations.select(F.monotonically_increasing_id().alias("__row"), F.col(id_name), weight.alias("__w"), *[F.col(f"`{f}`").alias(f"__x_{f}") for f in features]).join(F.broadcast(back))
+    hybrids = F.explode(F.array(*[F.struct(F.lit(k).alias("__k"), *[F.col(f"__x_{f}" if mask >> i & 1 else f"__b_{f}").alias(f) for i, f in enumerate(features)]) for k, mask in enumerate(masks)]))
+    scored = model.predict(pairs.select("__row", id_name, "__w", "__share", hybrids.alias("h")).select("__row", id_name, "__w", "__share", "h.*"), [f"__y_{o}" for o in range(len(model.output_names))])
+    sums = [F.sum(F.when(F.col("__k") == k, F.col("__share") * F.col(f"__y_{o}"))).alias(f"v_{o}_{k}") for k in range(len(masks)) for o in range(len(model.output_names))]
+    return scored.groupBy("__row", id_name).agg(F.first("__w").alias("weight"), *sums).drop("__row")
+
+
+def _literal(value, kind: T.DataType) -> Column:
+    return F.lit(value).cast(kind)
+
+
+def _pandas_values(observations: DataFrame, id_name: str, weight: Column, rows: list[tuple], shares: list[float], model: PandasModel, masks: list[int], names: list[str]) -> DataFrame:
+    """Values of a vectorised model: each batch is scored where it lies, one coalition at a time."""
+    features, function, share = list(model.feature_names), model.function, np.array(shares)
+    picked = observations.select(F.col(id_name), weight.cast("double").alias("weight"), *[F.col(f"`{f}`").alias(f"__x_{i}") for i, f in enumerate(features)])
+    schema = T.StructType([*picked.schema.fields[:2], *[T.StructField(n, T.DoubleType()) for n in names]])
+    step = max(1, HYBRID_ROWS // len(rows))
+
+    def run(frames):
+        import pandas as pd
+
+        back = pd.DataFrame(rows, columns=features)
+        for frame in frames:
+            for lo in range(0, len(frame), step):
+                part = frame.iloc[lo : lo + step]
+                n = len(part)
+                out = part.iloc[:, :2].reset_index(drop=True)
+                for k, mask in enumerate(masks):
+                    hybrid = pd.DataFrame({f: part[f"__x_{i}"].repeat(len(back)).to_numpy() if mask >> i & 1 else pd.concat([back[f]] * n).to_numpy() for i, f in enumerate(features)})
+                    y = function(hybrid)
+                    y = np.asarray(getattr(y, "values", y), float).reshape(n, len(back), -1)
+                    for o, mean in enumerate(np.einsum("b,nbo->on", share, y)):
+                        out[f"v_{o}_{k}"] = mean
+                yield out[[f.name for f in schema.fields]]
+
+    return picked.mapInPandas(run, schema)
 
 
 def linear(coefficients: np.ndarray, output: int) -> Column:

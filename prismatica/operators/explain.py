@@ -97,10 +97,7 @@ class TreeExplainerFactory(ExplainerFactory):
 
 
 def compacted(background: DataFrame, features: list[str], limit: int, seed: int = 0) -> DataFrame:
-    """The background if it has at most ``limit`` rows, else k-means centres, repeated by cluster size.
-
-    Centres stand for their cluster's share of ten rows each, so that plain means keep the clusters' weights.
-    """
+    """The background if it has at most ``limit`` rows, else one k-means centre a row, weighted by its cluster's size."""
     if background.limit(limit + 1).count() <= limit:
         return background
     from pyspark.ml.clustering import KMeans
@@ -108,7 +105,5 @@ def compacted(background: DataFrame, features: list[str], limit: int, seed: int
 
     data = VectorAssembler(inputCols=features, outputCol="__features").transform(background.select(*[F.col(f).cast("double") for f in features]))
     model = KMeans(k=limit, seed=seed, featuresCol="__features").fit(data)
-    sizes = model.summary.clusterSizes
-    total = sum(sizes)
-    rows = [tuple(map(float, c)) for c, n in zip(model.clusterCenters(), sizes) for _ in range(max(1, round(10 * limit * n / total)) if n else 0)]
-    return background.sparkSession.createDataFrame(rows[: coalitions.MAX_BACKGROUND], [*features])
+    rows = [(*map(float, centre), float(size)) for centre, size in zip(model.clusterCenters(), model.summary.clusterSizes) if size]
+    return background.sparkSession.createDataFrame(rows, [*features, coalitions.WEIGHT])

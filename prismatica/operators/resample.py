@@ -1,20 +1,26 @@
 """Bootstraps as index tables, drawn by hashing so that any engine repeats them.
 
 ``(split, slot, pos)``: slot ``slot`` of split ``split`` holds the row at
-position ``pos``. Nothing is materialised on the driver.
+position ``pos``. Nothing is materialised on the driver. A split that draws
+every row has nothing to test on and is drawn again.
 """
 
 from __future__ import annotations
 
+import math
+import warnings
 from abc import ABC, abstractmethod
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import numbered
 from ..functions.scalars import hash_draw, hash_uniform
 
 CHUNK = 4096
+#: Chance that any split draws every row, below which that isn't looked for.
+NEGLIGIBLE = 1e-12
 
 
 class Bootstrap(ABC):
@@ -26,38 +32,73 @@ class Bootstrap(ABC):
     def get_n_splits(self) -> int:
         return self.n_splits
 
-    def slots(self, spark: SparkSession, n: int) -> DataFrame:
+    def slots(self, spark: SparkSession, n: int, splits: Sequence[int]) -> DataFrame:
+        """``(split, slot)`` of the splits; a run of splits is computed from a range of numbers."""
         if n < 2:
             raise ValueError("resampling needs two rows at least")
-        every = spark.range(self.n_splits * n)
-        return every.select(F.floor(F.col("id") / n).cast("int").alias("split"), F.pmod("id", F.lit(n)).cast("long").alias("slot"))
+        first, last = min(splits), max(splits)
+        every = spark.range(first * n, (last + 1) * n).select(F.floor(F.col("id") / n).cast("int").alias("split"), F.pmod("id", F.lit(n)).cast("long").alias("slot"))
+        return every if len(splits) == last - first + 1 else every.filter(F.col("split").isin(list(splits)))
+
+    def index(self, df: DataFrame, order: list[str], splits: Sequence[int] | None = None, groups=None) -> DataFrame:
+        """Positions drawn for each split (or those asked for), in terms of the given order."""
+        if groups is not None:
+            warnings.warn(f"bootstraps have no groups; left out: {groups!r}", stacklevel=2)
+        wanted = list(range(self.n_splits)) if splits is None else list(splits)
+        placed = self.placed(df, order)
+        n, chance = placed.count(), self.log_chance(placed)
+        parts, again = [], 0
+        while wanted:
+            drawn = self.draw(placed, n, wanted, str(self.seed) if not again else f"{self.seed}~{again}")
+            whole = []
+            if math.exp(min(chance, 0)) * len(wanted) > NEGLIGIBLE:
+                # at most one number a split
+                whole = [r["split"] for r in drawn.groupBy("split").agg(F.count_distinct("pos").alias("n")).filter(F.col("n") == n).collect()]
+            parts.append(drawn.filter(~F.col("split").isin(whole)) if whole else drawn)
+            wanted, again = whole, again + 1
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.union(part)
+        return out
+
+    def placed(self, df: DataFrame, order: list[str]) -> DataFrame:
+        """The rows with the positions that draws are made of."""
+        return numbered(df, order)
+
+    def log_chance(self, placed: DataFrame) -> float:
+        """Logarithm of a bound on the chance that a split draws every row."""
+        return placed.agg(_log_all_drawn(F.count(F.lit(1)))).first()[0]
 
     @abstractmethod
-    def index(self, df: DataFrame, order: list[str]) -> DataFrame:
-        """Positions drawn for each split, in terms of the given order."""
+    def draw(self, placed: DataFrame, n: int, splits: Sequence[int], seed: str) -> DataFrame: ...
 
-    def train(self, df: DataFrame, order: list[str]) -> DataFrame:
+    def train(self, df: DataFrame, order: list[str], splits: Sequence[int] | None = None) -> DataFrame:
         """Rows of each split, repeats kept."""
-        return self.index(df, order).join(numbered(df, order), "pos").drop("pos")
+        return self.index(df, order, splits).join(self.placed(df, order), "pos").drop("pos", "__stratum")
+
+    def test(self, df: DataFrame, order: list[str], splits: Sequence[int] | None = None) -> DataFrame:
+        """``(split, rows)`` that a split didn't draw."""
+        placed = self.placed(df, order)
+        wanted = range(self.n_splits) if splits is None else splits
+        every = placed.select("pos", F.explode(F.array(*[F.lit(k) for k in wanted])).alias("split"))
+        left = every.join(self.index(df, order, splits).select("split", "pos").distinct(), ["split", "pos"], "left_anti")
+        return left.join(placed, "pos").drop("pos", "__stratum")
+
 
-    def test(self, df: DataFrame, order: list[str]) -> DataFrame:
-        """``(split, rows)`` that a split didn't draw. A split that drew every row has none."""
-        placed = numbered(df, order)
-        every = placed.select("pos", F.explode(F.sequence(F.lit(0), F.lit(self.n_splits - 1))).alias("split"))
-        left = every.join(self.index(df, order).select("split", "pos").distinct(), ["split", "pos"], "left_anti")
-        return left.join(placed, "pos").drop("pos")
+def _log_all_drawn(n: Column) -> Column:
+    """Logarithm of n! / n ** n, by Stirling's upper bound."""
+    return -n + F.log(2 * math.pi * n) / 2 + 1 / (12 * n)
 
 
 class BootstrapCV(Bootstrap):
     """Draws all rows with replacement."""
 
-    def index(self, df, order):
-        n = df.count()
-        return self.slots(df.sparkSession, n).withColumn("pos", hash_draw(n, self.seed, F.col("split"), F.col("slot")))
+    def draw(self, placed, n, splits, seed):
+        return self.slots(placed.sparkSession, n, splits).withColumn("pos", hash_draw(n, seed, F.col("split"), F.col("slot")))
 
 
 class StratifiedBootstrapCV(Bootstrap):
-    """Draws from each stratum as many rows as it has."""
+    """Draws from each stratum as many rows as it has; positions run through the strata in the order of their values."""
 
     def __init__(self, n_splits: int = 1000, random_state: int = 0, *, stratum: str | None = None):
         super().__init__(n_splits, random_state)
@@ -65,17 +106,28 @@ class StratifiedBootstrapCV(Bootstrap):
             raise ValueError("arg stratum is needed")
         self.stratum = stratum
 
-    def index(self, df, order):
-        """Positions run through the strata in the order of their values."""
-        placed = self.placed(df, order)
-        sizes = placed.groupBy("__stratum").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("start"))
-        if sizes.agg(F.max("n")).first()[0] in (None, 1):
+    def _sizes(self, placed: DataFrame) -> DataFrame:
+        return placed.groupBy("__stratum").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("start"))
+
+    def log_chance(self, placed):
+        sizes = self._sizes(placed).agg(F.max("n").alias("most"), F.sum(_log_all_drawn(F.col("n"))).alias("chance")).first()
+        if sizes["most"] in (None, 1):
             raise ValueError("every stratum has one row: no split could leave one out")
+        return sizes["chance"]
+
+    def draw(self, placed, n, splits, seed):
+        # chunks of slots first, dealt out, so that no row holds a whole stratum
+        chunks = (
+            self._sizes(placed)
+            .withColumn("split", F.explode(F.array(*[F.lit(k) for k in splits])))
+            .withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK))))
+            .repartition("split", "start", "__chunk")
+        )
+        inside = F.sequence(F.col("__chunk") * CHUNK, F.least(F.col("n"), (F.col("__chunk") + 1) * CHUNK) - 1)
         return (
-            sizes.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(self.n_splits - 1))))
-            .withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+            chunks.withColumn("__i", F.explode(inside))
             .withColumn("slot", F.col("start") + F.col("__i"))
-            .select("split", "slot", (F.col("start") + hash_draw(F.col("n"), self.seed, F.col("split"), F.col("slot"))).alias("pos"))
+            .select("split", "slot", (F.col("start") + hash_draw(F.col("n"), seed, F.col("split"), F.col("slot"))).alias("pos"))
         )
 
     def placed(self, df: DataFrame, order: list[str]) -> DataFrame:
@@ -97,9 +149,6 @@ class StratifiedBootstrapCV(Bootstrap):
             .drop("__pos", "__block", "__before", "__in", "__n", "__start")
         )
 
-    def train(self, df, order):
-        return self.index(df, order).join(self.placed(df, order), "pos").drop("pos", "__stratum")
-
 
 class StationaryBootstrapCV(Bootstrap):
     """Politis and Romano's stationary bootstrap: circular blocks of geometric length."""
@@ -114,11 +163,18 @@ class StationaryBootstrapCV(Bootstrap):
             raise ValueError("arg mean_block_size as a share must be between 0 and 1")
         self.mean_block_size = mean_block_size
 
-    def index(self, df, order):
-        n = df.count()
-        size = self.mean_block_size if isinstance(self.mean_block_size, int) else max(1.0, n * self.mean_block_size)
-        slots = self.slots(df.sparkSession, n)
-        starts = (F.col("slot") == 0) | (hash_uniform(self.seed, "block", F.col("split"), F.col("slot")) < 1.0 / size)
+    def _size(self, n: int) -> float:
+        return self.mean_block_size if isinstance(self.mean_block_size, int) else max(1.0, n * self.mean_block_size)
+
+    def log_chance(self, placed):
+        # n rows are all different only if their blocks fit together: each start beyond the first has one place
+        n = placed.count()
+        return (n - 1) * math.log(max(1 / self._size(n), 1 - 1 / self._size(n))) + math.log(n)
+
+    def draw(self, placed, n, splits, seed):
+        size = self._size(n)
+        slots = self.slots(placed.sparkSession, n, splits)
+        starts = (F.col("slot") == 0) | (hash_uniform(seed, "block", F.col("split"), F.col("slot")) < 1.0 / size)
         slots = slots.withColumn("__start", F.when(starts, F.col("slot"))).withColumn("__chunk", F.floor(F.col("slot") / CHUNK))
         # last start at or before a slot: inside its chunk, else the last of earlier chunks
         chunks = slots.groupBy("split", "__chunk").agg(F.max("__start").alias("__last"))
@@ -128,5 +184,5 @@ class StationaryBootstrapCV(Bootstrap):
             slots.withColumn("__here", here)
             .join(chunks, ["split", "__chunk"])
             .withColumn("__from", F.coalesce("__here", "__earlier"))
-            .select("split", "slot", F.pmod(hash_draw(n, self.seed, F.col("split"), F.col("__from")) + F.col("slot") - F.col("__from"), F.lit(n)).cast("long").alias("pos"))
+            .select("split", "slot", F.pmod(hash_draw(n, seed, F.col("split"), F.col("__from")) + F.col("slot") - F.col("__from"), F.lit(n)).cast("long").alias("pos"))
         )

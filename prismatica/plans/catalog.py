@@ -359,7 +359,7 @@ def tree_shap_rf(spark, sf_dir):
 
 # resampling
 
-DRAW = "('0x' || substr(md5({0}), 1, 8))::BIGINT"
+DRAW = "('0x' || substr(md5({0}), 1, 15))::BIGINT"
 BOOTSTRAP = f"SELECT split::INTEGER AS split, slot, {DRAW.format(chr(39) + '42:' + chr(39) + ' || split || ' + chr(39) + ':' + chr(39) + ' || slot')} % (SELECT count(*) FROM orders) AS pos FROM range(0, 5) s(split), (SELECT unnest(range(0, (SELECT count(*) FROM orders))) AS slot)"
 
 
@@ -387,7 +387,7 @@ def bootstrap_stratified(spark, sf_dir):
 
 @query(
     f"""WITH n AS (SELECT count(*) AS n FROM events), s AS (SELECT split, unnest(range(0, (SELECT n FROM n))) AS slot FROM range(0, 3) t(split)),
-f AS (SELECT split, slot, max(CASE WHEN slot = 0 OR {DRAW.format("'42:block:' || split || ':' || slot")} / 4294967296.0::DOUBLE < 1.0::DOUBLE / 50 THEN slot END) OVER (PARTITION BY split ORDER BY slot) AS first FROM s)
+f AS (SELECT split, slot, max(CASE WHEN slot = 0 OR {DRAW.format("'42:block:' || split || ':' || slot")} % 4503599627370496 / 4503599627370496.0::DOUBLE < 1.0::DOUBLE / 50 THEN slot END) OVER (PARTITION BY split ORDER BY slot) AS first FROM s)
 SELECT split::INTEGER AS split, slot, ({DRAW.format("'42:' || split || ':' || first")} % n + slot - first) % n AS pos FROM f, n"""
 )
 def bootstrap_stationary(spark, sf_dir):
@@ -401,7 +401,7 @@ FORMULAS = {"mean": lambda q: F.lit(38000.0), "per_unit": lambda q: 1500.0 * q,
 
 @query(
     """WITH l AS (SELECT c_custkey AS id, c_acctbal AS y, c_nationkey::DOUBLE AS q FROM customer),
-s AS (SELECT *, (('0x' || substr(md5('0:' || id), 1, 8))::BIGINT % 5)::INTEGER AS split FROM l),
+s AS (SELECT *, (('0x' || substr(md5('0:' || id), 1, 15))::BIGINT % 5)::INTEGER AS split FROM l),
 c AS (SELECT 'mean' AS candidate, split, y, 38000.0::DOUBLE AS f FROM s UNION ALL SELECT 'per_unit', split, y, 1500.0::DOUBLE * q FROM s UNION ALL SELECT 'affine', split, y, 5000.0::DOUBLE + 1300.0::DOUBLE * q FROM s),
 r AS (SELECT candidate, split, -sqrt(avg(pow(y - f, 2))) AS score FROM c GROUP BY ALL),
 m AS (SELECT candidate, avg(score) AS mean, stddev_pop(score) AS std FROM r GROUP BY candidate)
