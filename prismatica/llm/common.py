@@ -37,12 +37,20 @@ def shared_folder(spark: SparkSession) -> str:
 _OWN: dict[str, str] = {}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder, so that lost executors lose nothing."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write to a table in the shared folder and read it again: lost executors lose nothing.
+
+    The table is deleted when the driver's program ends.
+    """
+    path = posixpath.join(shared_folder(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    forget(df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage when the driver's program ends."""
+    atexit.register(_forget, spark, path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -87,13 +95,6 @@ class Scratch:
     def __exit__(self, *_: object) -> None:
         delete(self.spark, self.folder)
 
-    def last(self, df: DataFrame) -> DataFrame:
-        """Write the operator's result to a table that stays until the session ends."""
-        path = posixpath.join(shared_folder(self.spark), f"{posixpath.basename(self.folder)}-result")
-        df.write.parquet(path)
-        atexit.register(_forget, self.spark, path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
     def keep(self, df: DataFrame) -> DataFrame:
         """Write the rows out and read them again."""
         self.tables += 1

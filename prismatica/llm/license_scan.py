@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, filled
+from .common import SPACE, filled, stored
 from .license_texts import FULL, HEADERS, SPDX
 
 # Short notices as published by the licences' stewards or in common use.
@@ -245,7 +245,7 @@ def scan(files: DataFrame, path_column: str = "path", text_column: str = "text",
     if texts_are_files:
         noticed = noticed.withColumn("__file", F.col("__file") | F.coalesce("__own.whole", F.lit(False)))
     if not keep_text:
-        noticed = cut(noticed)
+        noticed = stored(noticed, "notices")
 
     licences = (
         noticed.filter("__file AND __own IS NOT NULL AND __dir IS NOT NULL")

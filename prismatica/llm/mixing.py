@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, columns, cut, row_key, unused
+from .common import WORD, columns, row_key, stored, unused
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -76,7 +76,7 @@ def _plan(docs: DataFrame, id_column: str, text_column: str, source_column: str,
     key = F.xxhash64(row_key(id_column, text_column), F.col(source_column))
     # rows without an id are dealt by their key
     code = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.concat(F.lit("-:"), key.cast("string")))))
-    sized = cut(docs.select(F.col(id_column).alias("__id"), F.col(source_column).alias("source"), word_count(text_column).alias("size"), code.alias("__code"), key.alias("__key")))
+    sized = stored(docs.select(F.col(id_column).alias("__id"), F.col(source_column).alias("source"), word_count(text_column).alias("size"), code.alias("__code"), key.alias("__key")), "mix")
     sized = sized.withColumn("__bucket", F.substring("__code", 1, BUCKET_DIGITS))
 
     buckets = sized.groupBy("source", "__bucket").agg(F.sum("size").alias("bucket_size"))

@@ -32,13 +32,14 @@ large classes. Classes are the connected components of the links.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, columns, keyed, row_key, shuffle_width, unused
+from .common import Scratch, columns, keyed, row_key, shuffle_width, stored, unused
 from .textblocks import FAMILIES, U, Block, blocks, mix, ranges, windows
 
 WORDS = 5
@@ -135,11 +136,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in blocks(batch.column("text")):
             bands = band_hashes(signatures(*elements(block), block.n))
-            # the word sequence, twice 61 bits
-            digests = []
-            for family in (0, 1):
-                power = FAMILIES[family + 1]
-                digests.append(power.spans(power.prefix(block.word_hash(family)), block.word_off[:-1], block.word_off[1:]))
+            # of the word sequence, 128 bits
+            digests = np.frombuffer(b"".join(blake2b(b" ".join(block.text(i).split()), digest_size=16).digest() for i in range(block.n)), np.int64).reshape(-1, 2)
             part = batch.slice(block.lo, block.n)
             empty = np.diff(block.word_off) == 0
             ends = np.cumsum(np.append(0, np.where(empty, 0, BANDS))).astype(np.int32)
@@ -147,9 +145,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     part.column("id"),
                     part.column("key"),
-                    pa.array(digests[0].view(np.int64)),
+                    pa.array(digests[:, 0]),
                     # texts without words are equal to none but themselves
-                    pa.array(np.where(empty, part.column("key").to_numpy(), digests[1].view(np.int64))),
+                    pa.array(np.where(empty, part.column("key").to_numpy(), digests[:, 1])),
                     pa.ListArray.from_arrays(ends, bands[~empty].view(np.int64).ravel()),
                 ],
                 names=["id", "key", "digest1", "digest2", "bands"],
@@ -364,13 +362,13 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     with Scratch(docs.sparkSession, "near") as scratch:
         found = _classes(docs, id_column, text_column, similarity, scratch)
         out = found.select(F.col("id").alias(id_column), F.col("least.id").alias("class_id"), (F.col("key") == F.col("least.key")).alias("kept"))
-        return scratch.last(out)
+        return stored(out, "near-classes")
 
 
 def drop_near(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row of ``docs`` for each class, with all its columns: that of the least id; of repeated rows one."""
     key, again = unused(docs, "row_key"), unused(docs, "again")
     with Scratch(docs.sparkSession, "near") as scratch:
-        kept = scratch.last(_classes(docs, id_column, text_column, similarity, scratch).filter("key = least.key").select(F.col("key").alias(key)).distinct())
+        kept = stored(_classes(docs, id_column, text_column, similarity, scratch).filter("key = least.key").select(F.col("key").alias(key)).distinct(), "near-kept")
     rows = docs.withColumn(key, row_key(id_column, text_column)).join(kept, key)
     return rows.withColumn(again, F.row_number().over(Window.partitionBy(key).orderBy(key))).filter(F.col(again) == 1).select(*columns(docs))

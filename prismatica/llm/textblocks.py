@@ -21,7 +21,7 @@ BLOCK_BYTES = 2 << 20
 #: Powers kept between blocks.
 KEPT_POWERS = 4 << 20
 PRIME = U(2**61 - 1)
-#: Numbers multiplied at a time, so that what lies between stays in cache.
+#: Numbers computed with at a time.
 CACHED = 1 << 14
 LOW31, LOW30 = U(2**31 - 1), U(2**30 - 1)
 
@@ -50,26 +50,25 @@ def reduced(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Products of numbers below PRIME, modulo PRIME; ``b`` may be one number."""
-    out = np.empty(len(a), U)
-    for lo in range(0, len(a), CACHED):
-        x, y = a[lo : lo + CACHED], b[lo : lo + CACHED] if len(b) > 1 else b
-        x1, x0, y1, y0 = x >> U(31), x & LOW31, y >> U(31), y & LOW31
-        middle = x1 * y0
-        middle += x0 * y1
-        # 2**62 is 2 and 2**61 is 1
-        x1 *= y1
-        x1 <<= U(1)
-        x1 += middle >> U(30)
-        middle &= LOW30
-        middle <<= U(31)
-        x1 += middle
-        x0 *= y0
-        x1 = (x1 & PRIME) + (x1 >> U(61))
-        x1 += x0
-        out[lo : lo + CACHED] = reduced(x1)
-    return out
+def product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Products of numbers below PRIME, modulo PRIME; ``y`` may be one number."""
+    x1, x0, y1, y0 = x >> U(31), x & LOW31, y >> U(31), y & LOW31
+    middle = x1 * y0
+    middle += x0 * y1
+    # 2**62 is 2 and 2**61 is 1
+    x1 *= y1
+    x1 <<= U(1)
+    x1 += middle >> U(30)
+    middle &= LOW30
+    middle <<= U(31)
+    x1 += middle
+    x0 *= y0
+    return reduced((x1 & PRIME) + (x1 >> U(61)) + x0)
+
+
+def steps(n: int) -> Iterator[slice]:
+    """Slices of 0 .. n - 1 that are short enough for what lies between to stay in cache."""
+    return (slice(lo, min(lo + CACHED, n)) for lo in range(0, n, CACHED))
 
 
 class Powers:
@@ -95,17 +94,25 @@ class Powers:
 
     def prefix(self, values: np.ndarray) -> np.ndarray:
         """Prefix sums of symbol times power; bytes are first replaced by random symbols."""
-        values = self.symbols[values] if values.dtype == np.uint8 else reduced(values >> U(2))
-        terms = product(values, self.upto(len(values))[0])
-        out = np.zeros(len(values) + 1, U)
-        # in two halves, whose sums don't overflow
-        out[1:] = reduced(product(reduced(np.cumsum(terms >> U(30))), np.full(1, 1 << 30, U)) + reduced(np.cumsum(terms & LOW30)))
+        up, out, total = self.upto(len(values))[0], np.zeros(len(values) + 1, U), U(0)
+        for part in steps(len(values)):
+            own = values[part]
+            terms = product(self.symbols[own] if own.dtype == np.uint8 else reduced(own >> U(2)), up[part])
+            # in two halves, whose sums don't overflow
+            high, low = np.cumsum(terms >> U(30)), np.cumsum(terms & LOW30)
+            low += (high >> U(31)) + ((high & LOW31) << U(30))
+            low += total
+            out[part.start + 1 : part.stop + 1] = own = reduced(low)
+            total = own[-1]
         return out
 
     def spans(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hash of each span [start, end)."""
-        down = self.upto(len(prefix))[1]
-        return mix(product(reduced(prefix[ends] + (PRIME - prefix[starts])), down[starts]) + (ends - starts).astype(U) * U(MIX[0]))
+        down, out = self.upto(len(prefix))[1], np.empty(len(starts), U)
+        for part in steps(len(starts)):
+            first, last = starts[part], ends[part]
+            out[part] = mix(product(reduced(prefix[last] + (PRIME - prefix[first])), down[first]) + (last - first).astype(U) * U(MIX[0]))
+        return out
 
 
 def _grown(powers: np.ndarray, base: int, n: int) -> np.ndarray:
@@ -163,8 +170,14 @@ class Block:
     def prefix(self, family: int = 0) -> np.ndarray:
         return FAMILIES[family].prefix(self.data)
 
+    @cached_property
+    def _word_hashes(self) -> dict[int, np.ndarray]:
+        return {}
+
     def word_hash(self, family: int = 0) -> np.ndarray:
-        return FAMILIES[family].spans(self.prefix(family), *self.words)
+        if family not in self._word_hashes:
+            self._word_hashes[family] = FAMILIES[family].spans(self.prefix(family), *self.words)
+        return self._word_hashes[family]
 
 
 def windows(block: Block, n: int, family: int = 0, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
