@@ -1,11 +1,13 @@
 """Positions, running totals and exact quantiles without a single-task sort.
 
-A column's approximate percentiles (one row) cut the rows into buckets of known
+For positions, a column's approximate percentiles (one row) cut the rows into buckets of known
 order; bucket totals are summed first, then each bucket is ordered by itself.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,25 +41,70 @@ def numbered(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
     return running_total(df, order, name=name).withColumn(name, F.col(name).cast("long"))
 
 
+#: Values of a range that are few enough to be looked at on the driver.
+FEW = 1 << 14
+#: Half the share of values between two looks around a rank, ten times the sketch's error.
+AROUND, ACCURACY = 1e-3, 10_000
+
+
+@dataclass
+class Bracket:
+    """A rank, and what is known of its value: above ``low`` and below ``high``, ``n`` values between, ``below`` up to ``low``."""
+
+    rank: int
+    n: int
+    low: float | None = None
+    high: float | None = None
+    below: int = 0
+    value: float | None = None
+
+    def inside(self) -> Column:
+        test = F.lit(True)
+        if self.low is not None:
+            test = test & (F.col("v") > self.low)
+        return test if self.high is None else test & (F.col("v") < self.high)
+
+    def look(self) -> Column:
+        """Two values around the rank, roughly."""
+        at = (self.rank - self.below + 0.5) / self.n
+        return F.percentile_approx(F.when(self.inside(), F.col("v")), [max(at - AROUND, 0.0), min(at + AROUND, 1.0)], ACCURACY)
+
+    def narrow(self, a: float, b: float, before: int, at_a: int, between: int, at_b: int) -> None:
+        """Take over the counts of values before, at and between ``a`` and ``b``."""
+        after = self.n - before - at_a - between - at_b
+        parts = [(before, self.low, a, None), (at_a, a, a, a), (between, a, b, None), (at_b, b, b, b), (after, b, self.high, None)]
+        for count, low, high, value in parts:
+            if self.rank < self.below + count:
+                self.n, self.low, self.high, self.value = count, low, high, value
+                return
+            self.below += count
+
+
+def order_statistics(values: DataFrame, ranks: list[int], total: int) -> dict[int, float]:
+    """The values of ``v`` at ranks from 0: scans that count around two guesses, no shuffle or sort of the column."""
+    brackets = [Bracket(r, total) for r in ranks]
+    while many := [b for b in brackets if b.value is None and b.n > FEW]:
+        looks = values.agg(*[b.look().alias(f"l{i}") for i, b in enumerate(many)]).first()
+        counts = []
+        for b, (x, y) in zip(many, looks):
+            v, inside = F.col("v"), b.inside()
+            counts += [F.count_if(inside & (v < x)), F.count_if(v == x), F.count_if((v > x) & (v < y)), F.count_if(v == y) if y > x else F.lit(0)]
+        found = values.agg(*[c.alias(f"c{i}") for i, c in enumerate(counts)]).first()
+        for i, (b, (x, y)) in enumerate(zip(many, looks)):
+            b.narrow(x, y, *found[4 * i : 4 * i + 4])
+    for b in brackets:
+        if b.value is None:
+            # at most FEW values
+            b.value = sorted(r["v"] for r in values.filter(b.inside()).collect())[b.rank - b.below]
+    return {b.rank: b.value for b in brackets}
+
+
 def quantiles(df: DataFrame, column: str, probabilities: list[float]) -> list[float] | None:
     """Exact quantiles with linear interpolation of the values that are neither null nor NaN; None if there are none."""
-    values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    placed = running_total(values, ["v"], F.col("n"))
-    total = values.agg(F.sum("n")).first()[0]
+    values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    total = values.count()
     if not total:
         return None
-    wanted = {p: (total - 1) * p for p in probabilities}
-    ranks = sorted({int(r) for r in wanted.values()} | {min(int(r) + 1, total - 1) for r in wanted.values()})
-    hit = [(F.col("before") <= r) & (F.lit(r) < F.col("before") + F.col("n")) for r in ranks]
-    any_hit = hit[0]
-    for h in hit[1:]:
-        any_hit = any_hit | h
-    # as many rows as there are ranks, at most
-    found = placed.filter(any_hit).select("v", "n", "before").collect()
-    at = lambda r: next(x["v"] for x in found if x["before"] <= r < x["before"] + x["n"])
-    out = []
-    for p in probabilities:
-        low = int(wanted[p])
-        a, b = at(low), at(min(low + 1, total - 1))
-        out.append(a + (b - a) * (wanted[p] - low))
-    return out
+    wanted = [(total - 1) * p for p in probabilities]
+    at = order_statistics(values, sorted({int(w) for w in wanted} | {min(int(w) + 1, total - 1) for w in wanted}), total)
+    return [at[int(w)] + (at[min(int(w) + 1, total - 1)] - at[int(w)]) * (w - int(w)) for w in wanted]

@@ -52,9 +52,9 @@ def test_partitions(spark):
     p = IntegerRangePartitioner().fit(n, "v")
     assert p.bounds == [(i * 1000 - 500, i * 1000 + 500) for i in range(11)] and sum(p.frequencies) == 150
     assert ceil_step(0.3) == 0.5 and ceil_step(1.0) == 1 and ceil_step(2500) == 5000
-    with pytest.raises(ValueError, match="insufficient variance"):
+    with pytest.raises(ValueError, match="hardly vary"):
         ContinuousRangePartitioner().fit(spark.createDataFrame([(1.0,)] * 4 + [(10.0,)], "v double"), "v")
-    with pytest.raises(ValueError, match="empty"):
+    with pytest.raises(ValueError, match="no values"):
         ContinuousRangePartitioner().fit(n.limit(0), "v")
     assert CategoryPartitioner(2).fit(spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "v string"), "v").values == ["b", "c"]
 
@@ -139,3 +139,16 @@ def test_linkage_and_spaces():
         space.nothing = [1]
     with pytest.raises(TypeError):
         space.regParam = 3
+
+
+def test_quantiles_of_ties_and_few_values(spark, monkeypatch):
+    import numpy as np
+
+    from prismatica.functions import ordering
+
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(ordering, "FEW", 50)
+    for values in (rng.normal(size=3000), rng.integers(0, 3, 3000), np.r_[np.zeros(2000), rng.normal(size=500), np.ones(1500)], [7.0], [1.0, 2.0]):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "x double")
+        assert ordering.quantiles(df, "x", [0, 0.1, 0.25, 0.5, 0.75, 1]) == pytest.approx(np.quantile(values, [0, 0.1, 0.25, 0.5, 0.75, 1]).tolist())
+    assert ordering.quantiles(df.filter("x is null"), "x", [0.5]) is None
