@@ -29,7 +29,7 @@ BITS = 18
 #: Labelled rows used at most: those whose hashed ids are least.
 SAMPLE = 2000
 #: Features of those rows held at most (8 bytes each): further rows are left out of the sample.
-SAMPLE_FEATURES = 1 << 24
+SAMPLE_FEATURES = 1 << 22
 #: Rejected below this calibrated probability of good quality.
 KEEP_AT = 0.5
 SCALE = 30.0
@@ -166,10 +166,9 @@ def fit(rows: list, rounds: int = 60, rate: float = 0.05, decay: float = 1e-3) -
     held = np.array([r["order"] % 4 == 0 for r in rows])
     if not len(rows) or not 0 < good[~held].sum() < (~held).sum():
         return None
-    at = [np.frombuffer(r["at"], "<u4") for r in rows]
-    share = [np.frombuffer(r["share"], "<f4") for r in rows]
-    row = np.repeat(np.arange(len(rows)), [len(a) for a in at])
-    at, share = np.concatenate(at).astype(np.int64), np.concatenate(share) * SCALE
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [r["size"] for r in rows])
+    at = np.concatenate([np.frombuffer(r["at"], "<u4") for r in rows]).view(np.int32)
+    share = np.concatenate([np.frombuffer(r["share"], "<f4") for r in rows]) * np.float32(SCALE)
     size = 1 << BITS
     # both labels weigh alike in training; calibration brings the true shares back
     importance = np.where(good > 0, 0.5 / good[~held].sum(), 0.5 / (~held & (good == 0)).sum()) * ~held
