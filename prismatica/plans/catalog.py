@@ -9,9 +9,9 @@ from ..functions.ordering import numbered
 from ..functions.scalars import hash_draw
 from ..operators import affinity, resample, selection
 from ..operators.coalitions import ShapFrame
-from ..operators.explain import ExactExplainerFactory, KernelExplainerFactory, PermutationExplainerFactory, TreeExplainerFactory
+from ..operators.explain import ExactExplainerFactory, KernelExplainerFactory, PermutationExplainerFactory
 from ..operators.inspector import FunctionInspector
-from ..operators.models import ColumnModel, MlModelAdapter
+from ..operators.models import ColumnModel
 from ..operators.partition import CategoryPartitioner, ContinuousRangePartitioner, IntegerRangePartitioner
 from ..operators.sample import Sample
 from ..operators.simulate import UnivariateProbabilitySimulator, UnivariateTargetSimulator, UnivariateUpliftSimulator
@@ -333,30 +333,6 @@ def shap_plot_data(spark, sf_dir):
     return data.select("id", "output", *[F.round(f"phi__{f}", 6).alias(f"phi__{f}") for f in "abc"], *[F.round(f"feature__{f}", 9).alias(f"feature__{f}") for f in "abc"], F.round("y", 6).alias("y"))
 
 
-@query()
-def linkage_redundancy(spark, sf_dir):
-    sample, background = scored(spark, sf_dir)
-    tree = FunctionInspector(SCORE, background=background).fit(sample, persist=False).feature_redundancy_linkage()[0]
-    return spark.createDataFrame([(n, a, b, round(d, 6), s, name, None if w is None else round(w, 6)) for n, a, b, d, s, name, w in tree.rows()], "node_id int, left int, right int, distance double, size int, name string, weight double")
-
-
-def forest(spark, sf_dir):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-
-    sample, _ = scored(spark, sf_dir)
-    rows = sample.frame.withColumn("y", score({f: F.col(f) for f in "abc"}))
-    model = Pipeline(stages=[VectorAssembler(inputCols=["a", "b", "c"], outputCol="x"), RandomForestRegressor(featuresCol="x", labelCol="y", numTrees=5, maxDepth=4, seed=1)]).fit(rows)
-    return sample, MlModelAdapter(model, ["a", "b", "c"], ["score"])
-
-
-@query()
-def tree_shap_rf(spark, sf_dir):
-    sample, model = forest(spark, sf_dir)
-    return rounded(TreeExplainerFactory().explain(model, sample.frame, "id").values())
-
-
 # resampling
 
 DRAW = "('0x' || substr(md5({0}), 1, 15))::BIGINT"
@@ -416,21 +392,3 @@ def cv_rank_report(spark, sf_dir):
     scores = scores.withColumn("fit_s", F.lit(0.0)).withColumn("score_s", F.lit(0.0))
     report = selection.rank_report(scores.groupBy("candidate"))
     return rounded(report.select("candidate", "score__test__mean", "score__test__std", "score__test__rank"))
-
-
-@query()
-def selector_grid(spark, sf_dir):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
-
-    sample, _ = scored(spark, sf_dir)
-    join = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features")
-    tree = selection.ParameterSpace(Pipeline(stages=[join, DecisionTreeRegressor(labelCol="y", seed=1)]))
-    tree.DecisionTreeRegressor__maxDepth = [2, 4]
-    line = selection.ParameterSpace(Pipeline(stages=[join, LinearRegression(labelCol="y")]))
-    line.LinearRegression__regParam = [0.1]
-    found = selection.LearnerSelector([tree, line], cv=selection.KFoldCV(2), scoring=RegressionEvaluator(labelCol="y", metricName="r2")).fit(sample)
-    return found.summary_report().drop("id", *[f"time__{a}__{b}" for a in ("fit", "score") for b in ("mean", "std")])
-

@@ -36,16 +36,20 @@ SELECT partition_idx, centre AS partition, round(mean - {base}, 6) AS mean, roun
 FROM m JOIN p USING (partition_idx) JOIN h USING (partition_idx)"""
 
 
-#: Observations, background and coalition values of the attribution queries.
-SHAP = """o AS (SELECT o_orderkey AS id, (1 + o_orderkey % 3)::DOUBLE AS w, o_totalprice / 100000 AS a, month(o_orderdate)::DOUBLE / 12 AS b, (o_custkey % 7)::DOUBLE / 7 AS c FROM orders),
-g AS (SELECT avg(o_totalprice / 100000) AS a, avg(month(o_orderdate)::DOUBLE / 12) AS b, avg((o_custkey % 7)::DOUBLE / 7) AS c FROM orders GROUP BY o_orderpriority, o_orderstatus),
+#: Observations: id, weight and three features.
+OBSERVATIONS = """o AS (SELECT o_orderkey AS id, (1 + o_orderkey % 3)::DOUBLE AS w, o_totalprice / 100000 AS a, month(o_orderdate)::DOUBLE / 12 AS b, (o_custkey % 7)::DOUBLE / 7 AS c FROM orders)"""
+
+#: Background and coalition values v0 .. vabc of the attribution queries.
+BACKGROUND = """g AS (SELECT avg(o_totalprice / 100000) AS a, avg(month(o_orderdate)::DOUBLE / 12) AS b, avg((o_custkey % 7)::DOUBLE / 7) AS c FROM orders GROUP BY o_orderpriority, o_orderstatus),
 v AS (SELECT id, any_value(w) AS w,
   avg(g.a * g.b + 0.5::DOUBLE * g.c + 0.3::DOUBLE * g.a * g.c + 0.2::DOUBLE * g.b * g.c) AS v0, avg(o.a * g.b + 0.5::DOUBLE * g.c + 0.3::DOUBLE * o.a * g.c + 0.2::DOUBLE * g.b * g.c) AS va,
   avg(g.a * o.b + 0.5::DOUBLE * g.c + 0.3::DOUBLE * g.a * g.c + 0.2::DOUBLE * o.b * g.c) AS vb, avg(g.a * g.b + 0.5::DOUBLE * o.c + 0.3::DOUBLE * g.a * o.c + 0.2::DOUBLE * g.b * o.c) AS vc,
   avg(o.a * o.b + 0.5::DOUBLE * g.c + 0.3::DOUBLE * o.a * g.c + 0.2::DOUBLE * o.b * g.c) AS vab, avg(o.a * g.b + 0.5::DOUBLE * o.c + 0.3::DOUBLE * o.a * o.c + 0.2::DOUBLE * g.b * o.c) AS vac,
   avg(g.a * o.b + 0.5::DOUBLE * o.c + 0.3::DOUBLE * g.a * o.c + 0.2::DOUBLE * o.b * o.c) AS vbc, avg(o.a * o.b + 0.5::DOUBLE * o.c + 0.3::DOUBLE * o.a * o.c + 0.2::DOUBLE * o.b * o.c) AS vabc
-  FROM o CROSS JOIN g GROUP BY id),
-s AS (SELECT id, w,
+  FROM o CROSS JOIN g GROUP BY id)"""
+
+#: Attributions and interactions (s, t, and long: l, k) from coalition values v.
+GAMES = """s AS (SELECT id, w,
   (va - v0) / 3 + (vab - vb) / 6 + (vac - vc) / 6 + (vabc - vbc) / 3 AS pa,
   (vb - v0) / 3 + (vab - va) / 6 + (vbc - vc) / 6 + (vabc - vac) / 3 AS pb,
   (vc - v0) / 3 + (vac - va) / 6 + (vbc - vb) / 6 + (vabc - vab) / 3 AS pc,
@@ -56,6 +60,26 @@ t AS (SELECT *, pa - ab - ac AS aa, pb - ab - bc AS bb, pc - ac - bc AS cc FROM
 l AS (SELECT id, w, unnest(['a', 'b', 'c']) AS feature, unnest([pa, pb, pc]) AS phi, unnest([aa, bb, cc]) AS main FROM t),
 k AS (SELECT id, w, unnest(['a','a','a','b','b','b','c','c','c']) AS i, unnest(['a','b','c','a','b','c','a','b','c']) AS j, unnest([aa,ab,ac,ab,bb,bc,ac,bc,cc]) AS phi FROM t)"""
 
+SHAP = f"{OBSERVATIONS}, {BACKGROUND}, {GAMES}"
+
+
+def tree_games(tree: tuple, output: int) -> str:
+    """Coalition values of a decision tree: a split on a feature outside the coalition takes both branches by their training rows."""
+
+    def rows(node: tuple) -> int:
+        return node[0] if len(node) == 2 else rows(node[2]) + rows(node[3])
+
+    def value(node: tuple, coalition: str) -> str:
+        if len(node) == 2:
+            return f"{node[1][output]!r}::DOUBLE"
+        feature, threshold, left, right = node
+        if feature in coalition:
+            return f"CASE WHEN {feature} <= {threshold!r} THEN {value(left, coalition)} ELSE {value(right, coalition)} END"
+        return f"({rows(left)} * ({value(left, coalition)}) + {rows(right)} * ({value(right, coalition)})) / {rows(node)}::DOUBLE"
+
+    coalitions = ["", "a", "b", "c", "ab", "ac", "bc", "abc"]
+    return "v AS (SELECT id, w, " + ", ".join(f"{value(tree, s)} AS v{s or 0}" for s in coalitions) + " FROM o)"
+
 
 def affinity_sql(metric: str) -> str:
     """The literal definition: orthogonalised interaction vectors row by row, then their moments."""
