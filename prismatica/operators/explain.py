@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from abc import ABC, abstractmethod
 
 from pyspark.sql import DataFrame
@@ -14,10 +15,13 @@ from .models import MlModelAdapter, Model
 
 
 def complete(background: DataFrame, features: list[str]) -> DataFrame:
-    """Background rows without missing features."""
+    """Background rows without missing features; a warning tells how many were left out."""
     test = F.lit(True)
     for f in features:
         test = test & present(f)
+    missing, total = background.agg(F.count_if(~test), F.count(F.lit(1))).first()
+    if missing:
+        warnings.warn(f"{missing} of {total} background rows lack a feature and are left out", stacklevel=3)
     return background.filter(test)
 
 

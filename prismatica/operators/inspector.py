@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,16 +43,26 @@ class ModelInspector:
         self.shap_: ShapFrame | None = None
 
     def fit(self, sample: Sample, persist: bool = True) -> ModelInspector:
-        """Plan the attributions of all rows; they are computed once and kept (spilling to disk) when first read."""
+        """Compute the attributions of all rows, keep them (spilling to disk) and check them.
+
+        Without ``persist`` they are only planned: computed, unchecked, whenever they are read.
+        """
         if sample.id_name is None:
             raise ValueError("inspection needs a sample with an id column")
+        if len(sample.target_names) > 1:
+            raise ValueError(f"inspection takes one target, not {sample.target_names}")
         if unknown := set(sample.feature_names) ^ set(self.model.feature_names):
             raise ValueError(f"the model's features differ from the sample's: {sorted(unknown)}")
         background = sample.features if self.background is None and self.factory.uses_background_dataset else self.background
         shap = self.factory.explain(self.model, sample.frame, sample.id_name, background, interactions=self.shap_interaction, weight=sample.weight_column)
         if persist:
             shap.frame = shap.frame.persist(StorageLevel.MEMORY_AND_DISK)
+            # one row a feature
+            if lacking := {r["feature"]: r["n_missing"] for r in sample.null_audit().collect() if r["n_missing"] and r["feature"] in sample.feature_names}:
+                warnings.warn(f"features with missing values: {lacking}", stacklevel=2)
         self.sample_, self.shap_ = sample, shap
+        if persist:
+            self.check_values()
         return self
 
     @property

@@ -152,3 +152,146 @@ def test_quantiles_of_ties_and_few_values(spark, monkeypatch):
         df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "x double")
         assert ordering.quantiles(df, "x", [0, 0.1, 0.25, 0.5, 0.75, 1]) == pytest.approx(np.quantile(values, [0, 0.1, 0.25, 0.5, 0.75, 1]).tolist())
     assert ordering.quantiles(df.filter("x is null"), "x", [0.5]) is None
+
+
+def test_weighted_background_counts_every_cluster(spark):
+    from prismatica.operators.explain import compacted
+
+    # one large cluster and many of a single row: none may be left out
+    points = [(0.0, 0.0)] * 3000 + [(100.0 + 50 * i, 0.0) for i in range(9)]
+    centres = compacted(spark.createDataFrame(points, "a double, b double"), ["a", "b"], 10, seed=5).collect()
+    assert sum(r[coalitions.WEIGHT] for r in centres) == len(points)
+    assert sum(r.a * r[coalitions.WEIGHT] for r in centres) == pytest.approx(sum(a for a, _ in points))
+    model = ColumnModel(lambda x: x["a"] + 2 * x["b"], ["a", "b"])
+    back = spark.createDataFrame([(1.0, 0.0, 3.0), (5.0, 2.0, 1.0)], f"a double, b double, {coalitions.WEIGHT} double")
+    (row,) = ExactExplainerFactory().explain(model, spark.createDataFrame([(1, 4.0, 1.0)], "id int, a double, b double"), "id", back).frame.collect()
+    assert (row.phi_0, row.phi_1) == pytest.approx((2.0, 1.0))
+
+
+def test_attribution_needs_no_join_and_no_shuffle(spark, rows):
+    background = rows.groupBy((F.col("id") % 3).alias("g")).agg(*[F.avg(c).alias(c) for c in "abc"])
+    shap = ExactExplainerFactory().explain(ColumnModel(f, ["a", "b", "c"]), spark.range(100).selectExpr("id", "rand(1) a", "rand(2) b", "rand(3) c"), "id", background)
+    plan = shap.frame._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    # rows that repeat an id keep their own values
+    twice = rows.filter("id < 2").withColumn("id", F.lit(0))
+    out = ExactExplainerFactory().explain(ColumnModel(f, ["a", "b", "c"]), twice, "id", background).frame
+    assert out.count() == 2 and out.select("phi_0").distinct().count() == 2
+
+
+def test_models_of_all_kinds_have_equal_attributions(rows):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    model = Pipeline(stages=[VectorAssembler(inputCols=["a", "b", "c"], outputCol="x"), LinearRegression(featuresCol="x", labelCol="y", solver="normal")]).fit(rows)
+    w, z = model.stages[-1].coefficients.toArray().tolist(), float(model.stages[-1].intercept)
+    models = [ColumnModel(lambda x: x["a"] * w[0] + x["b"] * w[1] + x["c"] * w[2] + z, ["a", "b", "c"]), PandasModel(lambda x: x["a"] * w[0] + x["b"] * w[1] + x["c"] * w[2] + z, ["a", "b", "c"]), MlModelAdapter(model, ["a", "b", "c"])]
+    frames = [ExactExplainerFactory().explain(m, rows, "id", rows.limit(7)).frame.orderBy("id").toPandas()[["phi_0", "phi_1", "phi_2"]] for m in models]
+    assert np.allclose(frames[0], frames[1]) and np.allclose(frames[0], frames[2])
+
+
+def test_sampled_kernel_is_close_to_exact():
+    m = 13
+    weights = np.random.default_rng(4).normal(size=m)
+    masks, kernel = coalitions.kernel_coefficients(m, n_samples=2048)
+    assert len(masks) <= 2048 + 2
+    # additive games are recovered exactly from any sample that determines them
+    v = np.array([sum(weights[i] for i in range(m) if s >> i & 1) for s in masks])
+    assert np.allclose(kernel @ v, weights)
+
+
+def test_splits_that_draw_every_row_are_drawn_again(spark):
+    two = spark.createDataFrame([(1,), (2,)], "id long")
+    cv = BootstrapCV(200, 3)
+    with pytest.warns(UserWarning, match="groups"):
+        drawn = cv.index(two, ["id"], groups="g")
+    assert drawn.groupBy("split").agg(F.count_distinct("pos").alias("n"), F.count("*").alias("slots")).filter("n <> 1 or slots <> 2").isEmpty()
+    assert drawn.select("split").distinct().count() == 200 and cv.test(two, ["id"]).count() == 200
+    some = cv.index(two, ["id"], splits=[5, 9]).collect()
+    assert sorted(map(tuple, some)) == sorted(tuple(r) for r in drawn.collect() if r.split in (5, 9))
+    assert StationaryBootstrapCV(20, 1, mean_block_size=0.9).test(two, ["id"]).select("split").distinct().count() == 20
+
+
+def test_selection_with_groups_searchers_and_best_estimator(spark, rows):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    from prismatica.operators import selection
+
+    sample = Sample(rows.withColumn("y", F.col("a") * 2).withColumn("g", F.col("id") % 6), target_name="y", feature_names=["a", "b", "c"], id_name="id")
+    sample.frame = sample.frame.join(rows.select("id", (F.col("id") % 6).alias("g")), "id")
+    space = ParameterSpace(Pipeline(stages=[VectorAssembler(inputCols=["a", "b", "c"], outputCol="features"), LinearRegression(labelCol="y")]))
+    space.LinearRegression__regParam = [0.0, 5.0]
+    scoring = RegressionEvaluator(labelCol="y", metricName="r2")
+    found = selection.LearnerSelector(space, cv=selection.KFoldCV(2), scoring=scoring).fit(sample, groups="g")
+    assert found.best_candidate_.parameters == {"LinearRegression__regParam": 0.0} and found.best_estimator_ is found.best_estimator_
+    ids = rows.select("id", (F.col("id") % 6).alias("g"))
+    again = selection.LearnerSelector(space, cv=selection.KFoldCV(2), scoring=scoring).fit(sample, groups=ids)
+    assert [r[2] for r in again.results_] == pytest.approx([r[2] for r in found.results_])
+    with pytest.raises(ValueError, match="differ"):
+        selection.LearnerSelector(space, scoring=scoring).fit(sample, groups=ids.limit(3))
+    drawn = selection.LearnerSelector(space, cv=selection.BootstrapSplits(BootstrapCV(2, 1)), scoring=scoring, searcher=selection.random_search, n_iter=3, random_state=1).fit(sample)
+    assert len(drawn.candidates_) == 3 and len(drawn.results_) == 6
+    report = selection.nested(found.summary_report())
+    assert report.schema["score"].dataType["test"].dataType.fieldNames() == ["mean", "std", "rank"]
+    for error, options in ((TypeError, {"nothing": 1}), (ValueError, {"space": 1})):
+        with pytest.raises(error):
+            selection.LearnerSelector(space, scoring=scoring, **options)
+    with pytest.raises(TypeError):
+        selection.LearnerSelector(space, scoring=scoring, searcher=3)
+
+
+def test_inspectors_check_what_they_get(spark, rows):
+    from prismatica.operators.inspector import FunctionInspector, LearnerInspector
+
+    sample, model = Sample(rows, target_name="y", feature_names=["a", "b", "c"], id_name="id"), ColumnModel(f, ["a", "b", "c"])
+    inspector = FunctionInspector(model, background=rows.limit(5))
+    with pytest.raises(RuntimeError):
+        inspector.shap_values()
+    inspector.fit(sample)
+    assert inspector.is_fitted and inspector.feature_importance().count() == 3
+    for symmetrical, absolute in itertools.product((False, True), repeat=2):
+        (matrix,) = inspector.feature_synergy_matrix(symmetrical=symmetrical, absolute=absolute)
+        assert sorted(matrix.names) == ["a", "b", "c"] and np.isnan(np.diag(matrix.values)).all()
+    with pytest.raises(ValueError, match="one target"):
+        FunctionInspector(ColumnModel(f, ["a", "b"]), background=rows).fit(Sample(rows, target_name=["y", "c"], feature_names=["a", "b"], id_name="id"))
+    with pytest.raises(ValueError, match="differ"):
+        FunctionInspector(model, background=rows).fit(sample.drop("a"))
+    with pytest.warns(UserWarning, match="background rows lack"):
+        FunctionInspector(model, background=rows.withColumn("a", F.when(F.col("id") > 3, F.col("a")))).fit(sample, persist=False)
+    holes = Sample(rows.withColumn("a", F.when(F.col("id") > 3, F.col("a")).otherwise(F.lit(float("nan")))), target_name="y", feature_names=["a", "b", "c"], id_name="id")
+    with pytest.warns(UserWarning, match="missing values"), pytest.raises(AssertionError):
+        FunctionInspector(model, background=rows.limit(5)).fit(holes)
+    with pytest.raises((ValueError, TypeError)):
+        LearnerInspector(object(), ["a"])
+
+
+def test_drawing_reading_and_streaming(spark, rows, tmp_path):
+    import io
+
+    from prismatica.operators.draw import SimulationDrawer, SimulationReportStyle
+    from prismatica.sources.files import read_sample, read_table, write_sample
+    from prismatica.streaming.simulation import predict_stream, simulate_each_batch, windowed_histogram
+
+    sample = Sample(rows, target_name="y", feature_names=["a", "b", "c"], id_name="id")
+    write_sample(sample, str(tmp_path / "s.parquet"))
+    assert len(read_sample(spark, str(tmp_path / "s.parquet"), target_name="y", id_name="id")) == 60
+    (tmp_path / "t.tsv").write_text("x\ty\n1\tb\n")
+    assert read_table(spark, str(tmp_path / "t.tsv")).collect() == [(1, "b")]
+    model, out = ColumnModel(f, ["a", "b", "c"]), io.StringIO()
+    result = UnivariateUpliftSimulator(model, sample).simulate_feature("a", ContinuousRangePartitioner(5))
+    SimulationDrawer(SimulationReportStyle(out)).draw(result)
+    text = out.getvalue()
+    assert "2.5th percentile" in text and "97.5th percentile" in text and "Baseline = 0" in text and text.count("\n") > len(result.partitioning.values)
+    with pytest.raises(KeyError):
+        SimulationDrawer("oil")
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "s.parquet"))
+    seen = []
+    predicted = predict_stream(stream, model, ["p"])
+    query = simulate_each_batch(predicted, lambda batch: batch.agg(F.avg("p").alias("m")), lambda frame, number: seen.append((number, frame.first().m)), str(tmp_path / "c"))
+    query.awaitTermination(60)
+    assert seen == [(0, pytest.approx(rows.select(f({c: F.col(c) for c in "abc"}).alias("p")).agg(F.avg("p")).first()[0]))]
+    assert windowed_histogram(rows.withColumn("t", F.timestamp_seconds("id")), "t", ContinuousRangePartitioner(5).fit(rows, "a")).agg(F.sum("frequency")).first()[0] <= 60
