@@ -1,14 +1,15 @@
 """Removal of repeated byte strings by a suffix structure built column by column.
 
-Windows of ``n`` bytes that are equal have the same anchor: the first least of
-the hashed strings of ``ANCHOR`` bytes inside. Neighbouring windows with one
+Windows of ``n`` bytes that are equal have the same anchor: of the strings of
+``ANCHOR`` bytes inside the first whose leading bytes have the least hash. Neighbouring windows with one
 anchor form a segment, about a fiftieth of the bytes in number. Shards compare
 anchors (38 bits) and segment contents (64 bits):
 
 * segments whose whole content stands twice are repeats throughout,
 * other segments that share an anchor go to the anchor's shard with their
-  bytes, where collections of bounded size are indexed by ``column_bwt``; common
-  prefixes of ``n`` bytes or more are repeats,
+  bytes. Those that share a longer string around the anchor, as any two with a
+  common window do, are indexed in collections of bounded size by ``column_bwt``;
+  common prefixes of ``n`` bytes or more are repeats,
 * anchors shared by very many different segments would make one collection too
   large; their windows are counted one by one (96 bits of hash) over all shards.
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from xxhash import xxh3_64_intdigest
 
 from .column_bwt import repeated_windows
 from .exchange import CODE_MASK, MESSAGES, answers, bucketed, count_windows, narrow, nothing, records, runs, shard_codes, shards, split_by_shard, table, to_shards, widen, window_records
@@ -32,6 +34,10 @@ ANCHOR = 100
 BUCKET_SEGMENTS = 16
 COLLECTION_SEGMENTS = 1024
 COLLECTION_BYTES = 1 << 17
+#: Places by which the strings that are tried around anchors differ.
+STEP = 4
+#: Bytes of a block: numbers of its places stay in cache.
+BLOCK = 1 << 18
 
 WHOLE, OWN, REFERENCE, HOT = 1, 2, 3, 4
 SPANS, PENDING, CONTENT, COUNTED = 0, 1, 2, 3
@@ -39,27 +45,42 @@ ASK_RECORD, ANSWER_RECORD, SPAN_RECORD, HEAD_RECORD = 13, 17, 16, 25
 
 
 class Segments:
-    """Segments of a block: first window, number of windows, anchor hash, content hash."""
+    """Segments of a block: first window, number of windows, the anchor's place, hashes of anchor and content."""
 
     def __init__(self, block: Block, n: int, anchor: int):
-        prefix = block.prefix(0)
         self.block, self.n = block, n
         sizes = np.maximum(np.diff(block.off) - n + 1, 0)
         starts = ranges(block.off[:-1], sizes)
         if not len(starts):
-            self.first = self.size = self.doc = np.zeros(0, np.int64)
+            self.first = self.size = self.doc = self.place = np.zeros(0, np.int64)
             self.anchor = self.content = np.zeros(0, U)
             return
-        every = np.arange(len(block.data) - anchor + 1)
-        hashes = FAMILIES[0].spans(prefix, every, every + anchor)
-        place = _first_least(hashes, n - anchor + 1)[starts]
-        doc = np.repeat(np.arange(block.n), sizes)
+        place = _first_least(_order(block.data, len(block.data) - anchor + 1), n - anchor + 1)[starts]
         new = np.ones(len(starts), bool)
-        new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
+        new[1:] = (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)
         at = np.flatnonzero(new)
-        self.first, self.doc, self.size = starts[at], doc[at], np.diff(np.append(at, len(starts)))
-        self.anchor = hashes[place[at]]
-        self.content = FAMILIES[1].spans(block.prefix(1), self.first, self.first + self.size - 1 + n)
+        self.first, self.size, self.place = starts[at], np.diff(np.append(at, len(starts))), place[at]
+        self.doc = np.searchsorted(block.off, self.first, "right") - 1
+        text = block.data.tobytes()
+        self.anchor = _hashes(text, self.place, self.place + anchor)
+        self.content = _hashes(text, self.first, self.first + self.size - 1 + n)
+
+
+def _order(data: np.ndarray, n: int) -> np.ndarray:
+    """A pseudo-random number of the (up to) eight bytes at each of the first ``n`` places: the order of anchors."""
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    out = np.empty(len(padded), U)
+    for i in range(8):
+        some = padded[i : i + (len(padded) - i) // 8 * 8].view(U)
+        out[i : i + 8 * len(some) : 8] = some
+    out = out[:n] * U(0x9E3779B97F4A7C15)
+    out ^= out >> U(32)
+    out *= U(0xD6E8FEB86659FD93)
+    return out
+
+
+def _hashes(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return np.fromiter((xxh3_64_intdigest(text[a:b]) for a, b in zip(starts.tolist(), ends.tolist())), U, len(starts))
 
 
 def _first_least(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -79,7 +100,7 @@ def _first_least(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def _ask(group: pa.Table, bucket: int, width: int, n: int, anchor: int) -> pa.Table:
-    parts = [Segments(b, n, anchor) for b in blocks(group.column("text"))]
+    parts = [Segments(b, n, anchor) for b in blocks(group.column("text"), BLOCK)]
     code = shard_codes(np.concatenate([p.anchor for p in parts]), width)
     content = np.concatenate([p.content for p in parts])
     if not len(code):
@@ -139,7 +160,7 @@ def _send(group: pa.Table, answer: pa.Table, bucket: int, width: int, n: int, an
     keys = group.column("key").to_numpy()
     spans, pending, heads, bodies, codes, one, two = [], [], [], [], [], [], []
     shipped: set[int] = set()
-    for block in blocks(group.column("text")):
+    for block in blocks(group.column("text"), BLOCK):
         seg = Segments(block, n, anchor)
         own = shard_codes(seg.anchor, width)
         is_hot = among(own, hot)
@@ -157,7 +178,7 @@ def _send(group: pa.Table, answer: pa.Table, bucket: int, width: int, n: int, an
                 continue
             shipped.add(int(label[i]))
             body = block.data[seg.first[i] : seg.first[i] + seg.size[i] - 1 + n]
-            heads.append((int(own[i]), int(key[i]), int(start[i]), len(body), kind[i] == OWN))
+            heads.append((int(own[i]), int(key[i]), int(start[i]), len(body), int(seg.place[i] - seg.first[i]), kind[i] == OWN))
             bodies.append(body.tobytes())
             codes.append(int(own[i]))
         if is_hot.any():
@@ -173,7 +194,7 @@ def _send(group: pa.Table, answer: pa.Table, bucket: int, width: int, n: int, an
         order = np.argsort(np.array(codes, U), kind="stable")
         shard = (np.array(codes, U)[order] >> U(38)).astype(np.int64)
         bounds = np.append(runs(shard)[1], len(shard))
-        head = np.array([(c, k, s, z, o) for c, k, s, z, o in heads], HEAD)[order]
+        head = np.array(heads, HEAD)[order]
         payload = [len(head[a:b]).to_bytes(4, "little") + head[a:b].tobytes() + b"".join([bodies[i] for i in order[a:b].tolist()]) for a, b in zip(bounds[:-1], bounds[1:])]
         out.append(table(shard[bounds[:-1]], np.full(len(payload), bucket), np.full(len(payload), CONTENT), payload))
     if one:
@@ -182,10 +203,30 @@ def _send(group: pa.Table, answer: pa.Table, bucket: int, width: int, n: int, an
     return pa.concat_tables(out) if out else nothing()
 
 
-HEAD = np.dtype([("code", "<u8"), ("key", "<i8"), ("start", "<i4"), ("size", "<i4"), ("own", "u1")])
+HEAD = np.dtype([("code", "<u8"), ("key", "<i8"), ("start", "<i4"), ("size", "<i4"), ("anchor", "<i4"), ("own", "u1")])
+
 
+def _promising(head: np.ndarray, begin: np.ndarray, text: bytes, n: int, anchor: int) -> np.ndarray:
+    """Segments that may share a window with another of their anchor.
 
-def _index(messages: pa.Table, n: int) -> pa.Table:
+    A shared window reaches L bytes to the left of the anchor and n - anchor - L
+    to the right. Rounded down to a multiple of STEP, L gives a string around the
+    anchor that both segments have; its hash must stand twice.
+    """
+    more, seen, own = n - anchor, {}, []
+    for code, size, place, lo in zip(head["code"].tolist(), head["size"].tolist(), head["anchor"].tolist(), begin.tolist()):
+        around = []
+        for left in range(0, more + 1, STEP):
+            first, last = place - left, place + anchor + max(0, more - left - STEP + 1)
+            if first >= 0 and last <= size:
+                around.append((code, left, xxh3_64_intdigest(text[lo + first : lo + last])))
+        for key in around:
+            seen[key] = seen.get(key, 0) + 1
+        own.append(around)
+    return np.fromiter((any(seen[key] > 1 for key in around) for around in own), bool, len(own))
+
+
+def _index(messages: pa.Table, n: int, anchor: int) -> pa.Table:
     kinds = messages.column("kind").to_numpy()
     take = lambda kind: messages.take(pa.array(np.flatnonzero(kinds == kind)))
     out = [take(SPANS), take(PENDING), count_windows(take(COUNTED), COUNTED)]
@@ -202,8 +243,9 @@ def _index(messages: pa.Table, n: int) -> pa.Table:
         size = head["size"].astype(np.int64)
         begin = np.cumsum(size) - size
         order = np.argsort(head["code"], kind="stable")
+        order = order[_promising(head, begin, data.tobytes(), n, anchor)[order]]
         _, starts = runs(head["code"][order])
-        bounds = np.append(starts, len(order))
+        bounds = np.append(starts, len(order)) if len(order) else np.zeros(1, np.int64)
         spans, whose, lo = [], [], 0
         upto = np.append(0, np.cumsum(size[order]))
         while lo < len(bounds) - 1:
@@ -221,7 +263,7 @@ def _index(messages: pa.Table, n: int) -> pa.Table:
             start = head["start"][owner] + first - off[np.searchsorted(off, first, "right") - 1]
             spans.append(np.concatenate([narrow(head["key"][owner], 8), narrow(start.astype(np.int64), 4), narrow(last - first, 4)], axis=1))
             whose.append(bucket[owner])
-        rows, whose = np.concatenate(spans), np.concatenate(whose)
+        rows, whose = np.concatenate([np.zeros((0, SPAN_RECORD), np.uint8), *spans]), np.concatenate([np.zeros(0, np.int64), *whose])
         order = np.argsort(whose, kind="stable")
         rows, whose = rows[order], whose[order]
         bounds = np.append(runs(whose)[1], len(whose))
@@ -287,5 +329,5 @@ def dedup_bytes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     compared = to_shards(grouped.applyInArrow(ask, MESSAGES), width, _compare)
     sent = grouped.cogroup(compared.groupBy("bucket")).applyInArrow(send, MESSAGES)
-    indexed = to_shards(sent, width, lambda messages: _index(messages, window))
+    indexed = to_shards(sent, width, lambda messages: _index(messages, window, anchor))
     return grouped.cogroup(indexed.groupBy("bucket")).applyInArrow(finish, OUTPUT).withColumnRenamed("id", id_column)

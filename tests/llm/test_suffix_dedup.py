@@ -41,7 +41,20 @@ def check(spark, rows, **options):
 
 def test_equals_brute_force_on_documents(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    check(spark, [(i, t[:6000]) for i, t in rows])
+    check(spark, rows)
+
+
+def test_rows_of_one_id_and_long_texts(spark):
+    rng = random.Random(8)
+    word = lambda k: "".join(rng.choices("abcdefgh é\n", k=k))
+    shared, long = word(400), word(1_200_000)
+    check(spark, [(1, word(50) + shared), (1, shared + word(70)), (1, "short"), (2, "x" + shared[100:]), (2, "x" + shared[100:]), (None, shared[:250]), (None, shared[5:])])
+    docs = spark.createDataFrame([(1, long), (2, "y" * 10 + long[600_000:600_300]), (3, long[:150])], "doc_id long, text string")
+    at = len(long[:600_000].encode())
+    size = len(long[600_000:600_300].encode())
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.dedup_bytes(docs).collect()}
+    whole = long.encode()
+    assert got == {1: (len(whole), size, 1, whole[:at] + whole[at + size :]), 2: (10 + size, size, 1, b"y" * 10), 3: (len(long[:150].encode()), 0, 0, long[:150].encode())}
 
 
 def test_awkward_rows(spark):
@@ -71,6 +84,6 @@ def test_crowded_anchors_are_counted(spark, monkeypatch, bucket, collection):
     told = deal([suffix_dedup._ask(g, b, 3, 30, 15) for b, g in groups.items()], suffix_dedup._compare)
     sent = [suffix_dedup._send(g, of(told, b), b, 3, 30, 15) for b, g in groups.items()]
     assert any(suffix_dedup.COUNTED in t.column("kind").to_pylist() for t in sent)
-    found = deal(sent, lambda t: suffix_dedup._index(t, 30))
+    found = deal(sent, lambda t: suffix_dedup._index(t, 30, 15))
     got = [tuple(r.values()) for b, g in groups.items() for r in suffix_dedup._cut(g, of(found, b), 30).to_pylist()]
     assert sorted(got, key=repr) == brute(rows, 30)
