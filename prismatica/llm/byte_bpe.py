@@ -220,7 +220,9 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, id_column: str
     ``ranks`` is the content of a rank file, which goes to the executors in a
     broadcast of its fixed size. Null and empty texts have no tokens. Without
     ``with_ids`` the SHA-256 of both come instead, as ``ids_sha256`` and
-    ``decoded_sha256``. Other columns are ignored; repeated rows are encoded alike.
+    ``decoded_sha256``. Texts of any length are encoded whole; repeated rows, and
+    rows without an id, are encoded like any other. An empty table gives no rows,
+    other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     output = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), *([("ids", pa.binary()), ("decoded", pa.binary())] if with_ids else [("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])])

@@ -119,7 +119,9 @@ def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, text_column: str = "text", lang_column: str = "lang") -> dict[str, np.ndarray]:
     """Unit prototypes by language from all rows with a language, bundled where they lie.
 
-    What reaches the driver is one vector a language.
+    What reaches the driver is one vector a language. Rows without text or
+    language teach nothing, repeated rows count each time; an empty table gives
+    no prototypes.
     """
     parts = (
         docs.filter(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
@@ -137,8 +139,9 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_column: str
     """One row per input row: id, ``lang_pred, score`` (the cosine, at least 0).
 
     ``und`` with score 0 for null texts, texts without a letter, and if nothing
-    was learned. Ties go to the first language by name. Repeated rows get equal
-    results; other columns are ignored.
+    was learned. Ties go to the first language by name. Repeated rows, and rows
+    without an id, get results like any other; texts of any length are profiled
+    whole. An empty table gives no rows, other columns are ignored.
     """
     names = sorted(prototypes)
     matrix = np.stack([prototypes[n] for n in names], 1).astype(np.float32) if names else np.zeros((DIMENSIONS, 0), np.float32)

@@ -194,7 +194,9 @@ def scan(files: DataFrame, path_column: str = "path", text_column: str = "text",
     first path.
     Null paths have no directory and inherit nothing; null and empty texts have
     no notice. Result columns replace columns of the same names; rows with
-    equal paths are treated alike, and repeated rows stay repeated. Without
+    equal paths are treated alike, and repeated rows stay repeated. Texts of any
+    length are scored whole (passages as PASSAGE says); an empty table gives no
+    rows. Without
     ``keep_text`` the text is left out, and notices are written to the shared
     folder first, so that texts are read once.
     """

@@ -14,8 +14,6 @@ thirteen for a window around a hit, and text shuffled once.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -72,8 +70,9 @@ def dedup_substrings(docs: DataFrame, id_column: str = "doc_id", text_column: st
     A word goes if a window of ``window`` words that covers it starts anywhere
     else too, in any document. ``spans`` are the maximal repeats as [first, last
     + 1) pairs of word places. Null and empty texts have no words. Rows that
-    repeat an id must repeat its text; each is another place of its windows. Null
-    ids are told apart by their text. Other columns are ignored.
+    repeat id and text are further places of their windows, and get equal results;
+    ids may be null or shared. Texts of any length are taken whole. An empty table
+    gives no rows, other columns are ignored.
     """
     width, size = shards(docs), (window + 1) // 2
     rows = bucketed(docs, id_column, text_column)
@@ -140,5 +139,3 @@ def dedup_substrings(docs: DataFrame, id_column: str = "doc_id", text_column: st
     )
 
 
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

@@ -311,9 +311,9 @@ def dedup_bytes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     A byte goes if a string of ``window`` bytes that covers it starts anywhere
     else too, in any document; the input decides, not what is left. Null is
-    empty. Rows that repeat an id must repeat its text; each is another place of
-    its strings. Null ids are told apart by their text. Other columns are
-    ignored; an empty table gives no rows.
+    empty. Rows that repeat id and text are further places of their strings, and
+    get equal results; ids may be null or shared. Texts of any length are taken
+    whole. Other columns are ignored; an empty table gives no rows.
     """
     width = shards(docs)
     grouped = bucketed(docs, id_column, text_column).groupBy("bucket")

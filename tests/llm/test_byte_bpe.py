@@ -40,7 +40,7 @@ def test_append_and_edit_keep_the_prefix_table(both):
 
 def test_documents_round_trip(spark, sf01, both):
     data, _, own = both
-    docs = spark.read.parquet(f"{sf01}/documents.parquet").limit(300)
+    docs = spark.read.parquet(f"{sf01}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in byte_bpe.encode_documents(docs, data, public_tokenizers.PATTERN).collect():
         assert bytes(r.decoded) == texts[r.doc_id].encode()
@@ -53,3 +53,13 @@ def test_null_empty_and_extra_columns(spark, both):
     rows = byte_bpe.encode_documents(docs, data, public_tokenizers.PATTERN, with_ids=False).collect()
     assert sorted(r.n_tokens for r in rows)[:3] == [0, 0, 0] and len(rows) == 4
     assert byte_bpe.encode_documents(docs.limit(0), data, public_tokenizers.PATTERN).count() == 0
+
+
+def test_long_texts_and_repeated_rows(spark, both):
+    data, _, own = both
+    long = "some words, été 12 and  more\n" * 100_000 + "z" * 20_000
+    docs = spark.createDataFrame([(1, long), (1, long), (1, "other")], "doc_id long, text string")
+    rows = byte_bpe.encode_documents(docs, data, public_tokenizers.PATTERN).collect()
+    want = own.encode_ordinary(long)
+    assert sorted(r.n_tokens for r in rows) == sorted([len(want), len(want), len(own.encode_ordinary("other"))])
+    assert all(list(memoryview(bytes(r.ids)).cast("I")) == want and bytes(r.decoded) == long.encode() for r in rows if r.n_tokens == len(want))

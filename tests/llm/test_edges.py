@@ -178,3 +178,48 @@ def test_training_sample_is_bounded(spark):
     assert (model.weights != quality.train(docs, labels, most=2000).weights).any()
     assert quality.train(docs, labels, most=10) is None
     assert quality.judge(docs.limit(0), model).count() == 0 and quality.judge(spark.createDataFrame([(None, "ü " * 700_000)], "doc_id long, text string"), model).first().n_words == 700_000
+
+
+def test_profiles_equal_brute_force(sf):
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    texts = ["", "a", "ab", "Ab  c", "1a2", "é ü!", "漢字", *pq.read_table(f"{sf}/documents.parquet").column("text").to_pylist()[:25]]
+
+    def vector(letter):
+        return language_id.letter_vectors(np.array([ord(letter) if letter != " " else 0]))[0].astype(int)
+
+    def profile(text):
+        letters = re.sub(" +", " ", " " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + " ")
+        total = np.zeros(language_id.DIMENSIONS)
+        for i in range(len(letters) - 2):
+            gram = letters[i : i + 3]
+            if gram.strip():
+                total += np.roll(vector(gram[0]), 2) * np.roll(vector(gram[1]), 1) * vector(gram[2])
+        norm = np.linalg.norm(total)
+        return total / norm if norm else total
+
+    for text, got in zip(texts, language_id.profiles([t or "" for t in texts])):
+        assert np.allclose(got, profile(text), atol=1e-5), text
+
+
+def test_languages_of_awkward_tables(spark):
+    rows = [(1, "der die das und", "de"), (2, "the of and to", "en"), (3, "the of and to", "zz"), (4, None, "en"), (5, "", "de"), (6, "123", "de"), (7, "und die", None), (None, "of the", "en")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, lang_pred string")
+    prototypes = language_id.learn(docs)
+    assert sorted(prototypes) == ["de", "en", "zz"] and language_id.learn(docs.limit(0)) == {}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs, prototypes).collect()}
+    # en and zz have nearly one prototype; equal ones go to the first name
+    assert got[1][0] == "de" and got[4] == got[5] == got[6] == ("und", 0.0) and got[7][0] == "de"
+    twin = {"b": prototypes["en"], "a": prototypes["en"]}
+    assert {r.lang_pred for r in language_id.identify(docs.filter("doc_id in (1, 2)"), twin).collect()} == {"a"}
+    assert language_id.identify(docs.limit(0), prototypes).count() == 0
+    assert language_id.identify(spark.createDataFrame([(1, "und die " * 400_000)], "doc_id long, text string"), prototypes).first().lang_pred == "de"
+
+
+def test_license_ties_and_awkward_tables(spark):
+    mit, bsd = "Released under the MIT License.", "Use of this source code is governed by a BSD-style license."
+    # best score first, then the first path; of one text the first name; repeated rows stay repeated
+    files = [("d/COPYING", bsd), ("d/LICENSE", mit), ("d/x", "code"), ("d/x", "code"), ("e/both", f"{mit}\n{bsd}"), ("long", "word " * 500_000 + "\n" + mit)]
+    got = [(r.path, r.license, r.how) for r in license_scan.scan(spark.createDataFrame([(*f, 1) for f in files], "path string, text string, score int")).collect()]
+    assert sorted(got) == sorted([("d/COPYING", "BSD-3-Clause", "own"), ("d/LICENSE", "MIT", "own"), *[("d/x", "BSD-3-Clause", "inherited")] * 2, ("e/both", "BSD-3-Clause", "own"), ("long", "MIT", "own")])

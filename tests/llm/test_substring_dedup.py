@@ -32,3 +32,12 @@ def test_awkward_rows(spark):
     check(spark, [(1, None), (2, ""), (3, a), (None, a + " x"), (5, "x x x x x x x x x"), (5, "x x x x x x x x x"), (-7, " \n\t" + a.replace(" ", "\x0b")), (900, "b c d e f"), (901, "é ü  b c d e f g")], 5)
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert substring_dedup.dedup_substrings(docs).count() == 0
+
+
+def test_a_text_of_many_blocks_and_rows_of_one_id(spark):
+    import random
+
+    rng = random.Random(3)
+    long = rng.choices([f"wort{i}" for i in range(400)], k=600_000)
+    rows = [(1, " ".join(long)), (2, "x " + " ".join(long[300_000:300_050])), (2, " ".join(long[10:60])), (2, "other"), (None, " ".join(long[20:70])), (3, "é" * 3_000_000), (4, " ".join(long[599_970:]))]
+    check(spark, rows, 35)
