@@ -18,12 +18,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, columns, filled, row_key, unused
+from .common import SPACE, columns, filled, row_key, shuffle_width, unused
 
+#: Salts of a digest at least; as many as there are shuffle partitions if those are more.
 SALTS = 16
 
 
-def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", salts: int = SALTS) -> DataFrame:
+def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", salts: int | None = None) -> DataFrame:
     """One row per input row: id, ``keep_id, group_size, kept, text_sha256``.
 
     Null and empty texts are equal. The smallest id of a group stays; a null id
@@ -36,7 +37,8 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return _groups(docs, id_column, text_column, salts).drop("__key")
 
 
-def _groups(docs: DataFrame, id_column: str, text_column: str, salts: int) -> DataFrame:
+def _groups(docs: DataFrame, id_column: str, text_column: str, salts: int | None) -> DataFrame:
+    salts = salts or max(SALTS, shuffle_width(docs.sparkSession))
     ident = F.col(id_column)
     content = F.regexp_replace(filled(text_column), f"[{SPACE}]+", " ")
     # rows without an id are dealt by their own key
@@ -73,7 +75,7 @@ def _groups(docs: DataFrame, id_column: str, text_column: str, salts: int) -> Da
     )
 
 
-def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", salts: int = SALTS) -> DataFrame:
+def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", salts: int | None = None) -> DataFrame:
     """One row of ``docs`` for each text, with all its columns: that of the smallest id; of repeated rows one."""
     key, again = unused(docs, "row_key"), unused(docs, "again")
     # rows of one id may differ in white space: the least key decides

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 #: Powers kept between blocks.
 KEPT_POWERS = 4 << 20
 PRIME = U(2**61 - 1)
