@@ -11,24 +11,25 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
-FAN = 16
+#: Buckets at least and at most; four a shuffle partition in between.
+FEWEST, MOST = 256, 16384
 
 
-def running_total(df: DataFrame, order: list[str], weight: Column | None = None, name: str = "before", buckets: int = BUCKETS) -> DataFrame:
+def running_total(df: DataFrame, order: list[str], weight: Column | None = None, name: str = "before", buckets: int | None = None) -> DataFrame:
     """``df`` plus the total weight of all rows that sort before the row.
 
     ``order`` should be unique; its first column is a number, date or timestamp
     and must not be null. Rows of one value of that column share a bucket.
     """
-    lead = F.col(order[0])
+    buckets = buckets or min(max(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), FEWEST), MOST)
+    fan, lead = round(buckets**0.5), F.col(order[0])
     as_number = F.unix_micros(lead.cast("timestamp")) if dict(df.dtypes)[order[0]].startswith(("timestamp", "date")) else lead
     rows = df.withColumn("__lead", as_number).withColumn("__weight", weight if weight is not None else F.lit(1))
     cuts = rows.agg(F.percentile_approx("__lead", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("__cuts"))
-    # the number of cuts below a value, in two steps: every FAN-th cut, then those in between
-    cuts = cuts.withColumn("__coarse", F.filter("__cuts", lambda c, i: i % FAN == FAN - 1))
+    # the number of cuts below a value, in two steps: every fan-th cut, then those in between
+    cuts = cuts.withColumn("__coarse", F.filter("__cuts", lambda c, i: i % fan == fan - 1))
     below = lambda cut: F.size(F.filter(cut, lambda c: c < F.col("__lead")))
-    rows = rows.join(F.broadcast(cuts)).withColumn("__block", below(F.col("__coarse")) * FAN).withColumn("__bucket", F.col("__block") + below(F.slice("__cuts", F.col("__block") + 1, F.lit(FAN))))
+    rows = rows.join(F.broadcast(cuts)).withColumn("__block", below(F.col("__coarse")) * fan).withColumn("__bucket", F.col("__block") + below(F.slice("__cuts", F.col("__block") + 1, F.lit(fan))))
     ahead = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("__bucket").agg(F.sum("__weight").alias("__total")).select("__bucket", F.coalesce(F.sum("__total").over(ahead), F.lit(0)).alias("__ahead"))
     inside = Window.partitionBy("__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
