@@ -21,20 +21,24 @@ from .textblocks import U
 
 #: Documents of a bucket, on average.
 BUCKET = 64
+#: Documents whose hashes a shard holds, at most on average.
+SHARD = 1 << 16
 CODE_BITS = 38
 CODE_MASK = U((1 << CODE_BITS) - 1)
 MESSAGES = "shard int, bucket long, kind int, payload binary"
 
 
-def bucketed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """``(bucket, id, key, text)``; rows are dealt by their key, however sparse or equal ids are."""
-    rows = keyed(docs, id_column, text_column)
-    buckets = max(shards(docs), -(-rows.count() // BUCKET))
-    return rows.select(F.pmod("key", F.lit(buckets)).alias("bucket"), "id", "key", "text")
-
+def bucketed(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, int]:
+    """``(bucket, id, key, text)``, and the number of shards.
 
-def shards(docs: DataFrame) -> int:
-    return shuffle_width(docs.sparkSession)
+    Rows are dealt by their key, however sparse or equal ids are. There are as
+    many shards as shuffle partitions, and more if those were too few for the
+    rows: a shard's messages are held by one Python worker.
+    """
+    rows = keyed(docs, id_column, text_column)
+    n = rows.count()
+    width = max(shuffle_width(docs.sparkSession), -(-n // SHARD))
+    return rows.select(F.pmod("key", F.lit(max(width, -(-n // BUCKET)))).alias("bucket"), "id", "key", "text"), width
 
 
 def to_shards(messages: DataFrame, width: int, step: Callable) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import CODE_BITS, CODE_MASK, MESSAGES, answers, bucketed, narrow, nothing, records, shard_codes, shards, split_by_shard, table, to_shards, widen
+from .exchange import CODE_BITS, CODE_MASK, MESSAGES, answers, bucketed, narrow, nothing, records, shard_codes, split_by_shard, table, to_shards, widen
 from .textblocks import U, mix
 
 MIN_CHARS = 40
@@ -160,8 +160,8 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     whole, whatever their length. Other columns are ignored; an empty table
     gives no rows.
     """
-    width = shards(docs)
-    grouped = bucketed(docs, id_column, text_column).groupBy("bucket")
+    rows, width = bucketed(docs, id_column, text_column)
+    grouped = rows.groupBy("bucket")
 
     def ask(key, group):
         return _ask(group, key[0].as_py(), width, min_chars)

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .exchange import CODE_MASK, MESSAGES, answers, bucketed, count_windows, narrow, nothing, records, runs, shard_codes, shards, split_by_shard, table, to_shards, widen, window_records
+from .exchange import CODE_MASK, MESSAGES, answers, bucketed, count_windows, narrow, nothing, records, runs, shard_codes, split_by_shard, table, to_shards, widen, window_records
 from .textblocks import U, blocks, cover, windows
 
 WINDOW = 35
@@ -74,9 +74,8 @@ def dedup_substrings(docs: DataFrame, id_column: str = "doc_id", text_column: st
     ids may be null or shared. Texts of any length are taken whole. An empty table
     gives no rows, other columns are ignored.
     """
-    width, size = shards(docs), (window + 1) // 2
-    rows = bucketed(docs, id_column, text_column)
-    grouped = rows.groupBy("bucket")
+    rows, width = bucketed(docs, id_column, text_column)
+    grouped, size = rows.groupBy("bucket"), (window + 1) // 2
 
     def ask(key, group):
         codes, reference = _probes(group.column("text"), size, width)

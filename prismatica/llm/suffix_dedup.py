@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from xxhash import xxh3_64_intdigest
 
 from .column_bwt import repeated_windows
-from .exchange import CODE_MASK, MESSAGES, answers, bucketed, count_windows, narrow, nothing, records, runs, shard_codes, shards, split_by_shard, table, to_shards, widen, window_records
+from .exchange import CODE_MASK, MESSAGES, answers, bucketed, count_windows, narrow, nothing, records, runs, shard_codes, split_by_shard, table, to_shards, widen, window_records
 from .substring_dedup import among
 from .textblocks import FAMILIES, U, Block, blocks, cover, mix, ranges
 
@@ -315,8 +315,8 @@ def dedup_bytes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     get equal results; ids may be null or shared. Texts of any length are taken
     whole. Other columns are ignored; an empty table gives no rows.
     """
-    width = shards(docs)
-    grouped = bucketed(docs, id_column, text_column).groupBy("bucket")
+    rows, width = bucketed(docs, id_column, text_column)
+    grouped = rows.groupBy("bucket")
 
     def ask(key, group):
         return _ask(group, key[0].as_py(), width, window, anchor)
