@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 U = np.uint64
 BLOCK_BYTES = 1 << 19
 #: Powers kept between blocks.
-KEPT_POWERS = 4 << 20
+KEPT_POWERS = 1 << 20
 PRIME = U(2**61 - 1)
 #: Numbers computed with at a time.
 CACHED = 1 << 14
