@@ -63,6 +63,8 @@ class ModelInspector:
         self.sample_, self.shap_ = sample, shap
         if persist:
             self.check_values()
+            if self.model.kind == "classifier":
+                self.check_additivity()
         return self
 
     @property
@@ -95,6 +97,23 @@ class ModelInspector:
         if bad:
             raise AssertionError("SHAP values contain NaN")
 
+    def additivity(self) -> DataFrame:
+        """``(output, least, most)`` of predictions less the sum of their attributions: one value, the expected output, if these add up."""
+        shap = self._shap()
+        outputs = [f"__y_{o}" for o in range(len(shap.output_names))]
+        predicted = self.model.predict(self.sample_.frame.select(shap.id_name, *self.model.feature_names), outputs)
+        cells = F.explode(F.array(*[F.struct(F.lit(name).alias("output"), F.col(y).alias("y")) for name, y in zip(shap.output_names, outputs)]))
+        predicted = predicted.select(shap.id_name, cells.alias("c")).select(shap.id_name, "c.*")
+        total = sum((F.col(f"phi_{i}") for i in range(1, len(shap.feature_names))), F.col("phi_0"))
+        gap = F.col("y") - total
+        return predicted.join(shap.frame, [shap.id_name, "output"]).groupBy("output").agg(F.min(gap).alias("least"), F.max(gap).alias("most"))
+
+    def check_additivity(self, tolerance: float = 1e-6) -> None:
+        """Warn if attributions don't add up to predictions."""
+        for r in self.additivity().collect():  # one row an output
+            if r["most"] - r["least"] > tolerance * max(1.0, abs(r["least"]), abs(r["most"])):
+                warnings.warn(f"attributions of {r['output']} don't add up: predictions less their sum range from {r['least']:.6g} to {r['most']:.6g}", stacklevel=2)
+
     def feature_importance(self, method: str = "rms") -> DataFrame:
         return metrics.importance(self._shap(), method)
 

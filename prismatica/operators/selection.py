@@ -53,10 +53,11 @@ class ParameterSpace:
         return self.values[name]
 
     def _param(self, name: str):
+        """The parameter that ``stage__...__parameter`` names, down through pipelines inside pipelines."""
         owner, at = self.estimator, name
-        if "__" in name and isinstance(owner, Pipeline):
-            stage, at = name.split("__", 1)
-            stages = {f"{type(s).__name__}": s for s in owner.getStages()} | {f"stage{i}": s for i, s in enumerate(owner.getStages())}
+        while "__" in at and isinstance(owner, Pipeline):
+            stage, at = at.split("__", 1)
+            stages = {type(s).__name__: s for s in owner.getStages()} | {f"stage{i}": s for i, s in enumerate(owner.getStages())}
             if stage not in stages:
                 raise AttributeError(f"unknown stage: {stage}")
             owner = stages[stage]

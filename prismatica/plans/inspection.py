@@ -114,6 +114,13 @@ def inspector_multiclass(spark, sf_dir):
     return rounded(LearnerInspector(classes(spark), FEATURES).fit(sample, persist=False).shap_values())
 
 
+@query(" UNION ALL ".join(f"SELECT * FROM (WITH {OBSERVATIONS}, {tree_games(CLASSES, k)} SELECT '{k}' AS output, round(min(v0), 6) AS least, round(max(v0), 6) AS most FROM v)" for k in range(3)))
+def inspector_additivity(spark, sf_dir):
+    """Predictions less the sum of their attributions are the expected output everywhere."""
+    sample, _ = scored(spark, sf_dir)
+    return rounded(LearnerInspector(classes(spark), FEATURES).fit(sample, persist=False).additivity())
+
+
 def _importances(outputs: dict[str, str]) -> str:
     parts = " UNION ALL ".join(f"SELECT * FROM (WITH {OBSERVATIONS}, {g}, {GAMES} SELECT '{n}' AS output, feature, sqrt(avg(w * phi * phi)) AS t FROM l GROUP BY feature)" for n, g in outputs.items())
     return f"SELECT output, feature, round(t / sum(t) OVER (PARTITION BY output), 6) AS importance FROM ({parts})"

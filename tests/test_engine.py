@@ -127,11 +127,17 @@ def test_bootstraps(rows):
             StationaryBootstrapCV(2, 1, mean_block_size=bad)
 
 
-def test_linkage_and_spaces():
+def test_linkage_and_spaces(spark):
     tree = link(np.array([[0, 0.9, 0.1], [0.9, 0, 0.2], [0.1, 0.2, 0]]), ["a", "b", "c"], [0.5, 0.3, 0.2])
     assert tree.clusters(0.7) == [["a", "b"]] and [tree.names[i] for i in tree.leaves()] == ["a", "b", "c"]
     from pyspark.ml.regression import LinearRegression
 
+    from pyspark.ml import Pipeline
+
+    inner = ParameterSpace(Pipeline(stages=[Pipeline(stages=[LinearRegression()])]))
+    inner.stage0__LinearRegression__regParam = [0.3]
+    (choice,) = inner.candidates()
+    assert inner.build(choice).getStages()[0].getStages()[0].getRegParam() == 0.3
     space = ParameterSpace(LinearRegression())
     space.regParam = [0.1, 0.2]
     assert len(space.candidates()) == 2
