@@ -127,8 +127,23 @@ class Space:
         mass = self._sum(entries, lambda x, s: s * s)
         return F.array_max(F.slice(mass, 2, len(self.names))) >= self.threshold**2 - 1e-9
 
-    def best(self, passage: Column) -> Column:
-        """``(minus, license)``: the least of the negative cosines, then of the names."""
+    def known(self, terms: Column) -> Column:
+        """Terms with their weight in the templates, if they have one."""
+        return F.transform(terms, lambda t: F.struct(t.alias("term"), F.try_element_at(self.table, t)[0].alias("weight")))
+
+    def reachable(self, known: Column) -> Column:
+        """Whether a passage of these terms can reach the threshold.
+
+        The part of its vector in the templates' terms must outweigh the rest. A
+        term that stands c times weighs (1 + ln c) ** 2 <= 4 c / e times its
+        weight's square, and one that no template has its weight's square at least.
+        """
+        inside = F.aggregate(known, F.lit(0.0), lambda a, x: a + F.coalesce(x["weight"] * x["weight"], F.lit(0.0)))
+        strange = F.size(F.array_distinct(F.transform(F.filter(known, lambda x: x["weight"].isNull()), lambda x: x["term"])))
+        return strange * self.outside**2 <= inside * (4 / math.e * (1 / self.threshold**2 - 1)) + 1e-9
+
+    def best(self, terms: Column) -> Column:
+        """``(minus, license)`` of a passage's terms: the least of the negative cosines, then of the names."""
 
         def counted(terms: Column) -> Column:
             count = lambda t: F.size(terms) - F.size(F.array_remove(terms, t))
@@ -139,7 +154,7 @@ class Space:
             norm = F.sqrt(F.aggregate(terms, F.lit(0.0), lambda a, x: a + weight(x) * weight(x)))
             return bound(norm, lambda n: bound(self._sum(F.filter(terms, lambda x: x["entry"].isNotNull()), lambda x, s: s * weight(x)), lambda dots: self._least(dots, n)))
 
-        return bound(found(passage), lambda terms: bound(counted(terms), scored))
+        return bound(terms, lambda terms: bound(counted(terms), scored))
 
     def _least(self, dots: Column, norm: Column) -> Column:
         minus = lambda d: -F.coalesce(F.round(F.try_divide(d, norm), 6), F.lit(0.0))
@@ -155,25 +170,36 @@ def hinted(low: Column) -> Column:
     return reduce(lambda a, b: a | b, [low.contains(h) for h in HINTS])
 
 
-def passages(low: Column) -> Column:
-    """The leading comment block, and all runs of SPANS neighbouring lines, if they have a hint and at most PASSAGE characters."""
+def passages(low: Column, space: Space) -> Column:
+    """Terms of the leading comment block, and of all runs of SPANS neighbouring lines.
+
+    Of these, passages that have a hint, have at most PASSAGE characters and can reach the threshold.
+    """
     plain = lambda t: F.regexp_replace(t, "[^a-z0-9\n]+", " ")
-    fitting = lambda t: (F.length(t) <= PASSAGE) & hinted(t)
+    terms = lambda known: F.transform(known, lambda x: x["term"])
+    blocks = F.array(plain(F.regexp_extract(low, MARKED, 1)), plain(F.regexp_extract(low, ENCLOSED, 1)))
+    blocks = F.transform(F.filter(blocks, lambda t: (F.length(t) <= PASSAGE) & hinted(t)), found)
+
+    # each line's terms are looked up once, and only runs around lines with a hint are made
+    line = lambda t: F.struct(space.known(found(t)).alias("known"), F.length(t).alias("size"), hinted(t).alias("hint"))
 
     def runs(lines: Column) -> Column:
-        of = lambda k: F.transform(F.sequence(F.lit(1), F.size(lines) - (k - 1)), lambda i: F.array_join(F.slice(lines, i, F.lit(k)), "\n"))
-        return F.flatten(F.array(*[F.when(F.size(lines) >= k, F.filter(of(k), fitting)).otherwise(F.array().cast("array<string>")) for k in SPANS]))
+        n, hints = F.size(lines), F.filter(F.transform(lines, lambda x, i: F.when(x["hint"], i + 1)), lambda i: i.isNotNull())
+        starts = lambda k: F.array_distinct(F.flatten(F.transform(hints, lambda i: F.sequence(F.greatest(F.lit(1), i - (k - 1)), F.least(i, n - (k - 1))))))
+        fits = lambda run, k: F.aggregate(run, F.lit(k - 1), lambda a, x: a + x["size"]) <= PASSAGE
+        known = lambda k: F.transform(F.filter(F.transform(starts(k), lambda i: F.slice(lines, i, F.lit(k))), lambda run: fits(run, k)), lambda run: F.flatten(F.transform(run, lambda x: x["known"])))
+        none = F.array().cast("array<array<string>>")
+        return F.flatten(F.array(*[F.when(n >= k, F.transform(F.filter(known(k), space.reachable), terms)).otherwise(none) for k in SPANS]))
 
-    blocks = F.filter(F.array(plain(F.regexp_extract(low, MARKED, 1)), plain(F.regexp_extract(low, ENCLOSED, 1))), fitting)
-    return F.array_distinct(F.concat(blocks, bound(F.split(plain(low), "\n", -1), runs)))
+    return F.concat(blocks, bound(F.transform(F.split(plain(low), "\n", -1), line), runs))
 
 
 def licensed(low: Column, full: Space, headers: Space) -> Column:
     """``(minus, license, whole)`` of a lower-case text: a whole licence text, else the best header or SPDX identifier."""
     of = lambda best, whole: F.struct(best["minus"].alias("minus"), best["license"].alias("license"), F.lit(whole).alias("whole"))
     clean = F.regexp_replace(low, COPYRIGHT, " ")
-    text = F.when(hinted(low) & full.possible(low), bound(full.best(clean), lambda b: F.when(-b["minus"] >= full.threshold, of(b, True))))
-    header = F.when(hinted(low) & headers.possible(low), bound(F.array_min(F.transform(passages(clean), headers.best)), lambda b: F.when(-b["minus"] >= headers.threshold, of(b, False))))
+    text = F.when(hinted(low) & full.possible(low), bound(full.best(found(clean)), lambda b: F.when(-b["minus"] >= full.threshold, of(b, True))))
+    header = F.when(hinted(low) & headers.possible(low), bound(F.array_min(F.transform(passages(clean, headers), headers.best)), lambda b: F.when(-b["minus"] >= headers.threshold, of(b, False))))
     known = F.create_map(*[F.lit(x) for pair in SPDX.items() for x in pair])
     names = F.filter(F.transform(F.regexp_extract_all(low, F.lit(IDENTIFIER), F.lit(1)), lambda i: F.try_element_at(known, i)), lambda n: n.isNotNull())
     named = F.when(low.contains("spdx-license-identifier"), bound(F.array_min(names), lambda n: F.when(n.isNotNull(), F.struct(F.lit(-1.0).alias("minus"), n.alias("license"), F.lit(False).alias("whole")))))
