@@ -301,3 +301,16 @@ def test_drawing_reading_and_streaming(spark, rows, tmp_path):
     query.awaitTermination(60)
     assert seen == [(0, pytest.approx(rows.select(f({c: F.col(c) for c in "abc"}).alias("p")).agg(F.avg("p")).first()[0]))]
     assert windowed_histogram(rows.withColumn("t", F.timestamp_seconds("id")), "t", ContinuousRangePartitioner(5).fit(rows, "a")).agg(F.sum("frequency")).first()[0] <= 60
+
+
+def test_histogram_of_a_stream_equals_that_of_its_table(spark, rows, tmp_path):
+    from prismatica.streaming.simulation import windowed_histogram
+
+    timed = rows.withColumn("t", F.timestamp_seconds(F.col("id") * 3600))
+    timed.write.parquet(str(tmp_path / "in"))
+    partitions = ContinuousRangePartitioner(5).fit(rows, "a")
+    stream = spark.readStream.schema(timed.schema).parquet(str(tmp_path / "in"))
+    query = windowed_histogram(stream, "t", partitions).writeStream.format("memory").queryName("histogram").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    want = windowed_histogram(timed, "t", partitions)
+    assert sorted(map(tuple, spark.table("histogram").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
