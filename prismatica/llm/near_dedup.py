@@ -53,6 +53,8 @@ MANY = 32
 MARGIN = 1e-9
 #: Texts and elements of a block: what a piece of work holds at most twice (or one longer text).
 BLOCK_TEXTS, BLOCK_ELEMENTS = 1024, 1 << 21
+#: Texts that one piece compares with their leader.
+FOLLOWERS = 128
 
 
 def elements(block: Block, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -291,7 +293,7 @@ def _linked(members: DataFrame, texts: DataFrame, similarity: float, scratch: Sc
     led = scratch.keep(ranked.join(leads, "hash").groupBy("node").agg(F.max("lead").alias("lead")).select("node", F.col("lead.node").alias("leader")).filter("node <> leader"))
     # a leader with many texts is sent to several pieces
     sizes = led.join(sets.select("node", "size"), "node").groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements"))
-    sizes = scratch.keep(sizes.select("leader", _blocks("n", "elements").alias("blocks")))
+    sizes = scratch.keep(sizes.select("leader", _blocks("n", "elements", FOLLOWERS).alias("blocks")))
     followers = led.join(sizes, "leader").select("leader", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "node")
     heads = sizes.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("leader").alias("node"))
     work = followers.union(heads).join(sets, "node").repartition(width, "leader", "block").sortWithinPartitions("leader", "block")
@@ -326,10 +328,10 @@ def _linked(members: DataFrame, texts: DataFrame, similarity: float, scratch: Sc
     return scratch.keep(placed.select("node", "class").distinct().join(joined, "class", "left").select("node", F.coalesce("joined", "class").alias("class")))
 
 
-def _blocks(texts, elements):
+def _blocks(texts, elements, most: int | None = None):
     """Number of blocks that so many texts and elements are dealt into."""
     column = lambda c: F.col(c) if isinstance(c, str) else c
-    return F.greatest(F.ceil(column(texts) / BLOCK_TEXTS), F.ceil(column(elements) / BLOCK_ELEMENTS)).cast("long")
+    return F.greatest(F.ceil(column(texts) / (most or BLOCK_TEXTS)), F.ceil(column(elements) / BLOCK_ELEMENTS)).cast("long")
 
 
 def _classes(docs: DataFrame, id_column: str, text_column: str, similarity: float, scratch: Scratch) -> DataFrame:
