@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, row_key
-from .textblocks import FAMILIES, U, Block, blocks, cover, mix, windows
+from .textblocks import U, Block, blocks, cover, mix, steps, windows
 
 WORD_GRAMS = (1, 2)
 CHARACTER_GRAMS = (3, 4, 5)
@@ -67,20 +67,24 @@ def _means(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def features(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each size of n-gram: hashed features at each place, and each document's first place and end."""
-    half = 1 << (BITS - 1)
     for n in WORD_GRAMS:
-        hashed = block.word_hash()
-        if n > 1:
-            hashed = np.concatenate([mix(sum(_turned(hashed[i : len(hashed) - n + 1 + i], i) for i in range(n)), 20 + n), np.zeros(min(n - 1, len(hashed)), U)])
-        yield (hashed >> U(64 - BITS + 1)).astype(np.int64), _places(block.word_off, n)
-    points = np.frombuffer(block.data.tobytes().decode().encode("utf-32-le"), "<u4").astype(U)
+        yield _grams(block.word_hash(), n, 0), _places(block.word_off, n)
+    points = np.frombuffer(block.data.tobytes().decode().encode("utf-32-le"), "<u4")
     off = np.append(0, np.cumsum((block.data & 0xC0) != 0x80))[block.off]
     for n in CHARACTER_GRAMS:
-        size = max(len(points) - n + 1, 0)
-        hashed = np.zeros(len(points), U)
+        yield _grams(points, n, 1), _places(off, n)
+
+
+def _grams(values: np.ndarray, n: int, half: int) -> np.ndarray:
+    """The feature of the ``n`` values from each place, in one of the halves of the weights."""
+    out = np.zeros(len(values), np.int32)
+    for part in steps(max(len(values) - n + 1, 0)):
+        hashed = np.zeros(part.stop - part.start, U)
         for i in range(n):
-            hashed[:size] += _turned(points[i : i + size], i)
-        yield half + (_scattered(hashed) >> U(64 - BITS + 1)).astype(np.int64), _places(off, n)
+            hashed += _turned(values[part.start + i : part.stop + i].astype(U), i)
+        out[part] = (_scattered(hashed) >> U(64 - BITS + 1)).astype(np.int32)
+    out += half << (BITS - 1)
+    return out
 
 
 def _turned(values: np.ndarray, place: int) -> np.ndarray:
@@ -113,7 +117,7 @@ def base_counts(block: Block) -> dict[str, np.ndarray]:
     ends = ends - not_last
     filled = np.diff(_sums(~space, np.stack([starts, ends], 1)), axis=1)[:, 0] > 0 if len(starts) else np.zeros(0, bool)
     starts, ends, line_doc = starts[filled], ends[filled], line_doc[filled]
-    hashes = FAMILIES[1].spans(block.prefix(1), starts, ends)
+    hashes = block.span_hashes(starts, ends, 1)
     first = np.unique(mix(hashes + line_doc.astype(U) * U(0x9E3779B97F4A7C15)), return_index=True)[1]
     duplicates = np.bincount(line_doc, minlength=block.n) - np.bincount(line_doc[first], minlength=block.n)
 

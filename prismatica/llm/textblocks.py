@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 
 U = np.uint64
 BLOCK_BYTES = 1 << 19
+#: Bytes of a long text whose prefix sums are held at a time.
+PIECE = 1 << 19
 #: Powers kept between blocks.
 KEPT_POWERS = 1 << 20
 PRIME = U(2**61 - 1)
@@ -176,9 +178,19 @@ class Block:
 
     def word_hash(self, family: int = 0) -> np.ndarray:
         if family not in self._word_hashes:
-            self._word_hashes[family] = FAMILIES[family].spans(self.prefix(family), *self.words)
+            self._word_hashes[family] = self.span_hashes(*self.words, family)
         return self._word_hashes[family]
 
+    def span_hashes(self, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
+        """Hash of each span; spans come one after another. Prefix sums are held for PIECE bytes (or one longer span) at a time."""
+        power, out, lo = FAMILIES[family], np.empty(len(starts), U), 0
+        while lo < len(starts):
+            hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + PIECE, "right")))
+            first = starts[lo]
+            out[lo:hi] = power.spans(power.prefix(self.data[first : ends[hi - 1]]), starts[lo:hi] - first, ends[lo:hi] - first)
+            lo = hi
+        return out
+
 
 def windows(block: Block, n: int, family: int = 0, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(index of the first word, hash) of each window of ``n`` words inside a document."""

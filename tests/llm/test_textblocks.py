@@ -40,3 +40,10 @@ def test_strings_that_collide_modulo_powers_of_two():
             starts = [*range(n - 199), *range(n, 2 * n - 199)]
             assert len(set(hashes.tolist())) == len({text[i : i + 200] for i in starts})
         assert len(set(windows(next(blocks(pa.array(texts[:2]))), 512)[1].tolist())) == len({t[i : i + 1023] for t in texts[:2] for i in range(0, 2 * (n - 511), 2)})
+
+
+def test_word_hashes_of_long_texts_do_not_depend_on_place():
+    words = [f"wort{i % 977}" for i in range(200_000)] + ["x" * 700_000, "wort5"]
+    block = next(blocks(pa.array([" ".join(words)])))
+    alone = {w: int(next(blocks(pa.array([w]))).word_hash()[0]) for w in {*words}}
+    assert block.word_hash().tolist() == [alone[w] for w in words] and len({*alone.values()}) == len(alone)
