@@ -80,8 +80,11 @@ QUERIES = {
     "pipeline": pipeline,
 }
 ORACLES = {
+    "op1_near_dedup": near_dedup.ORACLE,
     "op2_line_dedup": line_dedup.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op7_license_scan": license_scan.ORACLE,
+    "op8_substring_dedup": substring_dedup.ORACLE,
+    "op9_suffix_dedup": suffix_dedup.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }

@@ -374,3 +374,18 @@ def drop_near(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
         kept = stored(_classes(docs, id_column, text_column, similarity, scratch).filter("key = least.key").select(F.col("key").alias(key)).distinct(), "near-kept")
     rows = docs.withColumn(key, row_key(id_column, text_column)).join(kept, key)
     return rows.withColumn(again, F.row_number().over(Window.partitionBy(key).orderBy(key))).filter(F.col(again) == 1).select(*columns(docs))
+
+
+#: All pairs that share an element, and the components of those that are similar enough.
+ORACLE = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, md5(CASE WHEN len(words) >= 5 THEN array_to_string(words[i:i + 4], ' ') ELSE array_to_string(words, ' ') END) AS element
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM d WHERE len(words) > 0)),
+e AS (SELECT doc_id, element, count(*) AS weight FROM s GROUP BY ALL),
+n AS (SELECT doc_id, sum(weight) AS total FROM e GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.weight, b.weight)) AS common FROM e a JOIN e b ON a.element = b.element AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE common::DOUBLE / (x.total + y.total - common)::DOUBLE >= 0.8),
+u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+p AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT p.a, u.b FROM p JOIN u ON u.a = p.b)
+SELECT a AS doc_id, min(b) AS class_id, a = min(b) AS kept FROM p GROUP BY a
+"""

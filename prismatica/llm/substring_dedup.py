@@ -138,3 +138,13 @@ def dedup_substrings(docs: DataFrame, id_column: str = "doc_id", text_column: st
     )
 
 
+ORACLE = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, unnest(range(1, len(words) - 33)) AS place, unnest(list_transform(range(1, len(words) - 33), lambda i: md5(array_to_string(words[i:i + 34], ' ')))) AS content FROM d WHERE len(words) >= 35),
+r AS (SELECT doc_id, place FROM w WHERE content IN (SELECT content FROM w GROUP BY content HAVING count(*) > 1)),
+g AS (SELECT DISTINCT doc_id, place + unnest(range(0, 35)) AS place FROM r),
+l AS (SELECT doc_id, list(place) AS gone FROM g GROUP BY doc_id),
+t AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM d),
+k AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.place) AS kept FROM t LEFT JOIN g ON g.doc_id = t.doc_id AND g.place = t.place WHERE g.place IS NULL GROUP BY t.doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN l USING (doc_id) LEFT JOIN k USING (doc_id)
+"""

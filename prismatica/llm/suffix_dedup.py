@@ -331,3 +331,21 @@ def dedup_bytes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     sent = grouped.cogroup(compared.groupBy("bucket")).applyInArrow(send, MESSAGES)
     indexed = to_shards(sent, width, lambda messages: _index(messages, window, anchor))
     return grouped.cogroup(indexed.groupBy("bucket")).applyInArrow(finish, OUTPUT).withColumnRenamed("id", id_column)
+
+
+#: Strings as hexadecimal digits, cut into pieces so that each is read from near its place.
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS digits FROM documents),
+b AS (SELECT doc_id, digits, (length(digits) // 2)::BIGINT AS n FROM d),
+p AS (SELECT doc_id, n, piece, substr(digits, 2 * piece + 1, 2398) AS own FROM (SELECT *, unnest(range(0, greatest(n - 199, 0), 1000)) AS piece FROM b)),
+i AS (SELECT doc_id, piece, own, unnest(range(0, least(1000, n - 199 - piece))) AS i FROM p),
+w AS (SELECT doc_id, piece + i AS place, md5_number(substr(own, (2 * i + 1)::BIGINT, 400)) AS content FROM i),
+r AS (SELECT doc_id, place, place - lag(place) OVER (PARTITION BY doc_id ORDER BY place) <= 200 AS joined FROM w WHERE content IN (SELECT content FROM w GROUP BY content HAVING count(*) > 1)),
+s AS (SELECT doc_id, place, count(*) FILTER (joined IS NOT TRUE) OVER (PARTITION BY doc_id ORDER BY place) AS span FROM r),
+g AS (SELECT doc_id, span, min(place) AS first, max(place) + 200 AS last FROM s GROUP BY ALL),
+k AS (SELECT doc_id, coalesce(lag(last) OVER o, 0) AS begin, first AS finish FROM g WINDOW o AS (PARTITION BY doc_id ORDER BY span)
+  UNION ALL SELECT doc_id, coalesce(max(last), 0), any_value(n) FROM b LEFT JOIN g USING (doc_id) GROUP BY doc_id),
+t AS (SELECT doc_id, string_agg(substr(digits, (2 * begin + 1)::BIGINT, (2 * (finish - begin))::BIGINT), '' ORDER BY begin) AS kept FROM k JOIN b USING (doc_id) GROUP BY doc_id),
+c AS (SELECT doc_id, sum(last - first) AS removed, count(*) AS spans FROM g GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM b JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
