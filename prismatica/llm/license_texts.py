@@ -54,6 +54,7 @@ HEADERS = {
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."],
     "GPL-2.0": _gnu("", "2.0"),
     "GPL-3.0": _gnu("", "3.0"),
+    "ISC": [FULL["ISC"], "Released under the ISC License.", "Licensed under the ISC License."],
     "LGPL-2.1": _gnu("Lesser", "2.1"),
     "LGPL-3.0": _gnu("Lesser", "3.0"),
     "MIT": [
@@ -63,6 +64,9 @@ HEADERS = {
         "Licensed under the MIT License. See LICENSE in the project root for license information.",
         "This source code is licensed under the MIT license found in the LICENSE file in the root directory of this source tree.",
     ],
+    "NCSA": [FULL["NCSA"]],
+    "OFL-1.1": ["This Font Software is licensed under the SIL Open Font License, Version 1.1."],
+    "Unicode-3.0": [FULL["Unicode-3.0"]],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file,
