@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import filled
 
 #: Entries a worker keeps in each cache before it starts afresh.
-CACHE = 400_000
+CACHE = 300_000
 NEVER = 1 << 60
 
 
