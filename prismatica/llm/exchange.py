@@ -91,9 +91,15 @@ def widen(rows: np.ndarray) -> np.ndarray:
 
 def records(messages: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
     """All payload records as rows of bytes, and the message of each."""
-    payload = messages.column("payload").to_pylist()
-    counts = np.array([len(p) for p in payload], np.int64) // size
-    return np.frombuffer(b"".join(payload), np.uint8).reshape(-1, size), np.repeat(np.arange(len(payload)), counts)
+    bodies, counts = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
+    for chunk in messages.column("payload").chunks:
+        _, offsets, data = chunk.buffers()
+        off = np.frombuffer(offsets, np.int32)[chunk.offset : chunk.offset + len(chunk) + 1] if offsets is not None and len(chunk) else np.zeros(1, np.int32)
+        if data is not None:
+            bodies.append(np.frombuffer(data, np.uint8)[off[0] : off[-1]])
+        counts.append(np.diff(off).astype(np.int64) // size)
+    counts = np.concatenate(counts)
+    return np.concatenate(bodies).reshape(-1, size), np.repeat(np.arange(len(counts)), counts)
 
 
 def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
