@@ -21,7 +21,7 @@ TINY = 1e-12
 def importance(shap: ShapFrame, method: str = "rms") -> DataFrame:
     """``(output, feature, importance)``: shares of root-mean-square or mean absolute SHAP values."""
     if method not in ("rms", "mav"):
-        raise ValueError(f"arg method must be one of rms, mav, but is {method}")
+        raise ValueError(f"importance is measured by rms or mav, not by {method}")
     w = F.col("weight")
     total = lambda x: F.sqrt(F.avg(w * x * x)) if method == "rms" else F.avg(w * F.abs(x))
     one = shap.frame.groupBy("output").agg(*[total(F.col(f"phi_{i}")).alias(f"t_{i}") for i in range(len(shap.feature_names))])

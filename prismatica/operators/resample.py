@@ -26,7 +26,7 @@ NEGLIGIBLE = 1e-12
 class Bootstrap(ABC):
     def __init__(self, n_splits: int = 1000, random_state: int = 0):
         if n_splits < 1:
-            raise ValueError(f"arg n_splits must be at least 1, but is {n_splits}")
+            raise ValueError(f"one split is the least, not {n_splits}")
         self.n_splits, self.seed = n_splits, random_state
 
     def get_n_splits(self) -> int:
@@ -103,7 +103,7 @@ class StratifiedBootstrapCV(Bootstrap):
     def __init__(self, n_splits: int = 1000, random_state: int = 0, *, stratum: str | None = None):
         super().__init__(n_splits, random_state)
         if stratum is None:
-            raise ValueError("arg stratum is needed")
+            raise ValueError("name the column that holds the strata")
         self.stratum = stratum
 
     def _sizes(self, placed: DataFrame) -> DataFrame:
@@ -156,11 +156,11 @@ class StationaryBootstrapCV(Bootstrap):
     def __init__(self, n_splits: int = 1000, random_state: int = 0, *, mean_block_size: int | float = 0.1):
         super().__init__(n_splits, random_state)
         if isinstance(mean_block_size, bool) or not isinstance(mean_block_size, (int, float)):
-            raise TypeError("arg mean_block_size is a whole number of rows or a share of rows")
+            raise TypeError("a block size is a whole number of rows or a share of them")
         if isinstance(mean_block_size, int) and mean_block_size < 2:
-            raise ValueError("arg mean_block_size must be 2 rows at least")
+            raise ValueError("blocks have two rows on average at least")
         if isinstance(mean_block_size, float) and not 0 < mean_block_size < 1:
-            raise ValueError("arg mean_block_size as a share must be between 0 and 1")
+            raise ValueError("a share of rows lies between 0 and 1")
         self.mean_block_size = mean_block_size
 
     def _size(self, n: int) -> float:

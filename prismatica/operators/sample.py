@@ -21,10 +21,10 @@ class Sample:
 
     def __init__(self, observations: DataFrame, *, target_name: str | Sequence[str], feature_names: Sequence[str] | None = None, weight_name: str | None = None, id_name: str | None = None):
         if not hasattr(observations, "select") or not hasattr(observations, "schema"):
-            raise ValueError(f"arg observations is not a data frame: {type(observations).__name__}")
+            raise ValueError(f"observations are a data frame, not a {type(observations).__name__}")
         targets = [target_name] if isinstance(target_name, str) else list(target_name)
         if not targets:
-            raise ValueError("arg target_name is empty")
+            raise ValueError("name at least one target")
         self._check(observations, "target", targets)
         if weight_name is not None:
             self._check(observations, "weight", [weight_name])

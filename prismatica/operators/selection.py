@@ -44,7 +44,7 @@ class ParameterSpace:
     def __setattr__(self, name: str, value) -> None:
         self._param(name)
         if not isinstance(value, (list, tuple)) and not hasattr(value, "rvs"):
-            raise TypeError(f"expected a list or distribution for {name}, but got {value!r}")
+            raise TypeError(f"choices for {name} are a list or a distribution, not {value!r}")
         self.values[name] = list(value) if isinstance(value, (list, tuple)) else value
 
     def __getattr__(self, name: str):
@@ -120,7 +120,7 @@ class KFoldCV:
 
     def __init__(self, n_splits: int = 5, random_state: int = 0):
         if n_splits < 2:
-            raise ValueError("arg n_splits must be at least 2")
+            raise ValueError("two folds are the least")
         self.n_splits, self.seed = n_splits, random_state
 
     def splits(self, sample: Sample, groups: str | None = None):

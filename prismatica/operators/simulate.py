@@ -32,15 +32,15 @@ class UnivariateSimulator:
     def __init__(self, model, sample: Sample, *, confidence_level: float = 0.95):
         self.model: Model = as_model(model, sample.feature_names)
         if len(sample.target_names) > 1:
-            raise NotImplementedError("simulations of several targets are not supported")
+            raise NotImplementedError("a simulation takes a sample of one target")
         if not 0 < confidence_level < 1:
-            raise ValueError(f"arg confidence_level must be between 0 and 1, but is {confidence_level}")
+            raise ValueError(f"a confidence level lies between 0 and 1: {confidence_level}")
         self.sample, self.confidence_level = sample, confidence_level
         self.check()
 
     def check(self) -> None:
         if len(self.model.output_names) != 1:
-            raise NotImplementedError("simulations of several outputs are not supported")
+            raise NotImplementedError("a simulation takes a model of one output")
 
     @property
     def output_name(self) -> str:
@@ -113,7 +113,7 @@ class UnivariateProbabilitySimulator(UnivariateSimulator):
 
     def check(self):
         if self.model.kind not in ("classifier", "function") or getattr(self.model, "n_classes", 2) != 2:
-            raise TypeError("probabilities are simulated for binary classifiers only")
+            raise TypeError("probabilities need a classifier of two classes")
         super().check()
 
     def expected_output(self):
