@@ -174,19 +174,14 @@ def coalition_values(observations: DataFrame, id_name: str, weight: Column, back
     shares = [w / sum(weights) for w in weights]
     names = [f"v_{o}_{k}" for k in range(len(masks)) for o in range(len(model.output_names))]
     if isinstance(model, ColumnModel):
-        # one array of structs for all rows of the background, folded once
+        # one array of structs for all rows of the background, folded once, and one pass over it for all coalitions
         cells = [F.struct(*[_literal(v, f.dataType).alias(f"f{i}") for i, (v, f) in enumerate(zip(r, schema.fields))], F.lit(s).alias("share")) for r, s in zip(rows, shares)]
-        back = F.array(*cells)
         own = [F.col(f"`{f}`") for f in features]
-
-        def means(mask: int) -> list[Column]:
-            chosen = lambda b: {f: own[i] if mask >> i & 1 else b[f"f{i}"] for i, f in enumerate(features)}
-            if mask == (1 << len(features)) - 1:
-                return model.columns(chosen(None))
-            return [F.aggregate(back, F.lit(0.0), lambda total, b: total + b["share"] * model.columns(chosen(b))[o]) for o in range(len(model.output_names))]  # noqa: B023
-
-        values = [c for mask in masks for c in means(mask)]
-        return observations.select(F.col(id_name), weight.alias("weight"), *[c.alias(n) for c, n in zip(values, names)])
+        mixed = lambda mask, b: {f: own[i] if mask >> i & 1 else b[f"f{i}"] for i, f in enumerate(features)}
+        every = lambda b: F.array(*[b["share"] * c for mask in masks for c in model.columns(mixed(mask, b))])
+        means = F.aggregate(F.array(*cells), F.array(*[F.lit(0.0)] * len(names)), lambda total, b: F.zip_with(total, every(b), lambda x, y: x + y))
+        found = observations.select(F.col(id_name), weight.alias("weight"), means.alias("__means"))
+        return found.select(id_name, "weight", *[F.col("__means")[k].alias(n) for k, n in enumerate(names)])
     if isinstance(model, PandasModel):
         return _pandas_values(observations, id_name, weight, rows, shares, model, masks, names)
     # models that only transform frames: one row for each coalition and background row, counted per partition before the shuffle
