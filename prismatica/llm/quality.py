@@ -30,6 +30,8 @@ BITS = 18
 SAMPLE = 2000
 #: Features of those rows held at most (8 bytes each): further rows are left out of the sample.
 SAMPLE_FEATURES = 1 << 22
+#: Features summed at a time in training.
+PART = 1 << 18
 #: Rejected below this calibrated probability of good quality.
 KEEP_AT = 0.5
 SCALE = 30.0
@@ -177,15 +179,18 @@ def fit(rows: list, rounds: int = 60, rate: float = 0.05, decay: float = 1e-3) -
     # both labels weigh alike in training; calibration brings the true shares back
     importance = np.where(good > 0, 0.5 / good[~held].sum(), 0.5 / (~held & (good == 0)).sum()) * ~held
     w, bias, m, v, mb, vb = np.zeros(size), 0.0, np.zeros(size), np.zeros(size), 0.0, 0.0
+    # sums by parts: what lies between stays small beside the features
+    parts = [slice(lo, lo + PART) for lo in range(0, len(at), PART)]
+    scores = lambda w: sum(np.bincount(row[p], w[at[p]] * share[p], len(rows)) for p in parts)
     for t in range(1, rounds + 1):
-        raw = np.bincount(row, w[at] * share, len(rows)) + bias
-        error = (1 / (1 + np.exp(-raw)) - good) * importance
-        grad = np.bincount(at, error[row] * share, size) + decay * w / size
+        raw = scores(w) + bias
+        error = (1 / (1 + np.exp(-np.clip(raw, -500, 500))) - good) * importance
+        grad = sum(np.bincount(at[p], error[row[p]] * share[p], size) for p in parts) + decay * w / size
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         mb, vb = 0.9 * mb + 0.1 * error.sum(), 0.99 * vb + 0.01 * error.sum() ** 2
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         bias -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
-    raw = np.bincount(row, w[at] * share, len(rows)) + bias
+    raw = scores(w) + bias
     model = Classifier(w, float(bias))
     if 0 < good[held].sum() < held.sum():
         model.slope, model.shift = platt(raw[held], good[held])
