@@ -37,7 +37,7 @@ COLLECTION_BYTES = 1 << 17
 #: Places by which the strings that are tried around anchors differ.
 STEP = 4
 #: Bytes of a block: numbers of its places stay in cache.
-BLOCK = 1 << 18
+BLOCK = (1 << 18) - 64
 
 WHOLE, OWN, REFERENCE, HOT = 1, 2, 3, 4
 SPANS, PENDING, CONTENT, COUNTED = 0, 1, 2, 3

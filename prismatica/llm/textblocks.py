@@ -17,9 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = (1 << 18) - 64
 #: Bytes of a long text whose prefix sums are held at a time.
-PIECE = 1 << 19
+PIECE = (1 << 18) - 64
 #: Powers kept between blocks.
 KEPT_POWERS = 1 << 20
 PRIME = U(2**61 - 1)
