@@ -29,7 +29,7 @@ BITS = 18
 #: Labelled rows used at most: those whose hashed ids are least.
 SAMPLE = 2000
 #: Features of those rows held at most (8 bytes each): further rows are left out of the sample.
-SAMPLE_FEATURES = 1 << 22
+SAMPLE_FEATURES = 1 << 21
 #: Features summed at a time in training.
 PART = 1 << 18
 #: Rejected below this calibrated probability of good quality.
@@ -174,7 +174,8 @@ def fit(rows: list, rounds: int = 60, rate: float = 0.05, decay: float = 1e-3) -
         return None
     row = np.repeat(np.arange(len(rows), dtype=np.int32), [r["size"] for r in rows])
     at = np.concatenate([np.frombuffer(r["at"], "<u4") for r in rows]).view(np.int32)
-    share = np.concatenate([np.frombuffer(r["share"], "<f4") for r in rows]) * np.float32(SCALE)
+    share = np.concatenate([np.frombuffer(r["share"], "<f4") for r in rows])
+    share *= np.float32(SCALE)
     size = 1 << BITS
     # both labels weigh alike in training; calibration brings the true shares back
     importance = np.where(good > 0, 0.5 / good[~held].sum(), 0.5 / (~held & (good == 0)).sum()) * ~held
@@ -241,7 +242,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
                 chosen.append(r["id"])
         found = sparse.filter(F.col("id").isin(chosen)).collect() if chosen else []
     # in an order of their own, so that sums and so the model agree between runs
-    return fit(sorted(found, key=lambda r: (r["order"], r["id"])))
+    found.sort(key=lambda r: (r["order"], r["id"]))
+    return fit(found)
 
 
 # applying
