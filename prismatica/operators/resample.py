@@ -12,7 +12,7 @@ import warnings
 from abc import ABC, abstractmethod
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import numbered
@@ -45,11 +45,11 @@ class Bootstrap(ABC):
         if groups is not None:
             warnings.warn(f"bootstraps have no groups; left out: {groups!r}", stacklevel=2)
         wanted = list(range(self.n_splits)) if splits is None else list(splits)
-        placed = self.placed(df, order)
-        n, chance = placed.count(), self.log_chance(placed)
-        parts, again = [], 0
+        n = df.count()
+        sizes = self.sizes(df, order)
+        chance, parts, again = self.log_chance(sizes, n), [], 0
         while wanted:
-            drawn = self.draw(placed, n, wanted, str(self.seed) if not again else f"{self.seed}~{again}")
+            drawn = self.draw(df.sparkSession, sizes, n, wanted, str(self.seed) if not again else f"{self.seed}~{again}")
             whole = []
             if math.exp(min(chance, 0)) * len(wanted) > NEGLIGIBLE:
                 # at most one number a split
@@ -65,12 +65,16 @@ class Bootstrap(ABC):
         """The rows with the positions that draws are made of."""
         return numbered(df, order)
 
-    def log_chance(self, placed: DataFrame) -> float:
-        """Logarithm of a bound on the chance that a split draws every row."""
-        return placed.agg(_log_all_drawn(F.count(F.lit(1)))).first()[0]
+    def sizes(self, df: DataFrame, order: list[str]) -> DataFrame | None:
+        """``(n, start)`` of the groups of positions that are drawn from apart; None for one group of all."""
+        return None
+
+    def log_chance(self, sizes: DataFrame | None, n: int) -> float:
+        """Logarithm of a bound on the chance that a split draws every row: n! / n ** n by Stirling."""
+        return -n + math.log(2 * math.pi * max(n, 1)) / 2 + 1 / (12 * max(n, 1))
 
     @abstractmethod
-    def draw(self, placed: DataFrame, n: int, splits: Sequence[int], seed: str) -> DataFrame: ...
+    def draw(self, spark: SparkSession, sizes: DataFrame | None, n: int, splits: Sequence[int], seed: str) -> DataFrame: ...
 
     def train(self, df: DataFrame, order: list[str], splits: Sequence[int] | None = None) -> DataFrame:
         """Rows of each split, repeats kept."""
@@ -85,16 +89,11 @@ class Bootstrap(ABC):
         return left.join(placed, "pos").drop("pos", "__stratum")
 
 
-def _log_all_drawn(n: Column) -> Column:
-    """Logarithm of n! / n ** n, by Stirling's upper bound."""
-    return -n + F.log(2 * math.pi * n) / 2 + 1 / (12 * n)
-
-
 class BootstrapCV(Bootstrap):
     """Draws all rows with replacement."""
 
-    def draw(self, placed, n, splits, seed):
-        return self.slots(placed.sparkSession, n, splits).withColumn("pos", hash_draw(n, seed, F.col("split"), F.col("slot")))
+    def draw(self, spark, sizes, n, splits, seed):
+        return self.slots(spark, n, splits).withColumn("pos", hash_draw(n, seed, F.col("split"), F.col("slot")))
 
 
 class StratifiedBootstrapCV(Bootstrap):
@@ -106,20 +105,24 @@ class StratifiedBootstrapCV(Bootstrap):
             raise ValueError("name the column that holds the strata")
         self.stratum = stratum
 
-    def _sizes(self, placed: DataFrame) -> DataFrame:
-        return placed.groupBy("__stratum").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("start"))
-
-    def log_chance(self, placed):
-        sizes = self._sizes(placed).agg(F.max("n").alias("most"), F.sum(_log_all_drawn(F.col("n"))).alias("chance")).first()
-        if sizes["most"] in (None, 1):
+    def sizes(self, df, order):
+        # one row a stratum
+        found = df.groupBy(F.col(self.stratum).alias("__stratum")).agg(F.count(F.lit(1)).alias("n"))
+        ahead = F.sum("n").over(Window.orderBy("__stratum").rowsBetween(Window.unboundedPreceding, -1))
+        return found.select("n", F.coalesce(ahead, F.lit(0)).alias("start"))
+
+    def log_chance(self, sizes, n):
+        size = F.col("n")
+        all_drawn = -size + F.log(2 * math.pi * size) / 2 + 1 / (12 * size)
+        found = sizes.agg(F.max("n").alias("most"), F.sum(all_drawn).alias("chance")).first()
+        if found["most"] in (None, 1):
             raise ValueError("every stratum has one row: no split could leave one out")
-        return sizes["chance"]
+        return found["chance"]
 
-    def draw(self, placed, n, splits, seed):
+    def draw(self, spark, sizes, n, splits, seed):
         # chunks of slots first, dealt out, so that no row holds a whole stratum
         chunks = (
-            self._sizes(placed)
-            .withColumn("split", F.explode(F.array(*[F.lit(k) for k in splits])))
+            sizes.withColumn("split", F.explode(F.array(*[F.lit(k) for k in splits])))
             .withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK))))
             .repartition("split", "start", "__chunk")
         )
@@ -166,14 +169,13 @@ class StationaryBootstrapCV(Bootstrap):
     def _size(self, n: int) -> float:
         return self.mean_block_size if isinstance(self.mean_block_size, int) else max(1.0, n * self.mean_block_size)
 
-    def log_chance(self, placed):
+    def log_chance(self, sizes, n):
         # n rows are all different only if their blocks fit together: each start beyond the first has one place
-        n = placed.count()
-        return (n - 1) * math.log(max(1 / self._size(n), 1 - 1 / self._size(n))) + math.log(n)
+        return (n - 1) * math.log(max(1 / self._size(n), 1 - 1 / self._size(n))) + math.log(max(n, 1))
 
-    def draw(self, placed, n, splits, seed):
+    def draw(self, spark, sizes, n, splits, seed):
         size = self._size(n)
-        slots = self.slots(placed.sparkSession, n, splits)
+        slots = self.slots(spark, n, splits)
         starts = (F.col("slot") == 0) | (hash_uniform(seed, "block", F.col("split"), F.col("slot")) < 1.0 / size)
         slots = slots.withColumn("__start", F.when(starts, F.col("slot"))).withColumn("__chunk", F.floor(F.col("slot") / CHUNK))
         # last start at or before a slot: inside its chunk, else the last of earlier chunks
